@@ -34,7 +34,7 @@ def regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("l_extendedprice")
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_shipdate").cast("timestamp").alias("ts"),
-        (price * 0.95).alias("prediction"), (price * (1 - F.col("l_discount"))).alias("actual"),
+        (price / 1.05).alias("prediction"), (price * (1 - F.col("l_discount")) / 1.01).alias("actual"),
         F.col("l_returnflag").alias("segment"),
     )
 
@@ -155,8 +155,8 @@ VIEW_SQL: dict[str, str] = {
         "CAST(user_id % 2 AS VARCHAR) AS grp, value AS amount, CAST(props ->> '$.k' AS DOUBLE) AS k FROM events"
     ),
     "inf_regression": (
-        "SELECT l_shipdate AS ts, l_extendedprice * CAST(0.95 AS DOUBLE) AS prediction, "
-        "l_extendedprice * (1 - l_discount) AS actual, l_returnflag AS segment FROM lineitem"
+        "SELECT l_shipdate AS ts, l_extendedprice / 1.05 AS prediction, "
+        "l_extendedprice * (1 - l_discount) / 1.01 AS actual, l_returnflag AS segment FROM lineitem"
     ),
     "item_labels": (
         "SELECT l_orderkey, 'L' || (l_partkey % 6) AS p, 'L' || (l_suppkey % 6) AS g, l_discount * 10 AS c FROM lineitem"

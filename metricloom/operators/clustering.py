@@ -23,43 +23,42 @@ BLOCK_POINTS = 512
 CHUNK = 64
 
 
-def _matrix(flat, rows: int) -> np.ndarray:
-    return np.asarray(flat, dtype=np.float64).reshape(rows, -1)
-
-
-def _block_sums(left_ids, left, right_ids, right_clusters, right) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per left point and right cluster: sum and count of distances, the point itself left out."""
-    clusters, codes = np.unique(right_clusters.astype(str), return_inverse=True)
-    member = np.eye(len(clusters))[codes]
-    sums = np.zeros((len(left), len(clusters)))
-    counts = np.zeros((len(left), len(clusters)))
-    for begin in range(0, len(left), CHUNK):
-        part = slice(begin, begin + CHUNK)
-        difference = left[part, None, :] - right[None, :, :]
-        distance = np.sqrt(np.einsum("ijk,ijk->ij", difference, difference))
-        # A NULL feature makes the distance unknown; unknown distances are left out of the means.
-        usable = ~np.isnan(distance) & (left_ids[part, None] != right_ids[None, :])
-        sums[part] = np.where(usable, distance, 0.0) @ member
-        counts[part] = usable.astype(np.float64) @ member
-    return clusters, sums, counts
-
-
-def _partial_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            ids, right_ids = np.asarray(row.ids), np.asarray(row.right_ids)
-            clusters, sums, counts = _block_sums(
-                ids, _matrix(row.features, len(ids)),
-                right_ids, np.asarray(row.right_clusters), _matrix(row.right_features, len(right_ids)),
-            )
-            point, other = np.nonzero(counts)
-            yield pd.DataFrame({
-                "_gid": row._gid,
-                "row_id": ids[point],
-                "other": clusters[other],
-                "distance": sums[point, other],
-                "n": counts[point, other].astype(np.int64),
-            })
+def _partial_sums_kernel():
+    """The task function, built here so that it travels to the workers with its helpers."""
+
+    def block_sums(left_ids, left, right_ids, right_clusters, right):
+        """Per left point and right cluster: sum and count of distances, the point itself left out."""
+        clusters, codes = np.unique(right_clusters.astype(str), return_inverse=True)
+        member = np.eye(len(clusters))[codes]
+        sums = np.zeros((len(left), len(clusters)))
+        counts = np.zeros((len(left), len(clusters)))
+        for begin in range(0, len(left), CHUNK):
+            part = slice(begin, begin + CHUNK)
+            difference = left[part, None, :] - right[None, :, :]
+            distance = np.sqrt(np.einsum("ijk,ijk->ij", difference, difference))
+            # A NULL feature makes the distance unknown; unknown distances are left out of the means.
+            usable = ~np.isnan(distance) & (left_ids[part, None] != right_ids[None, :])
+            sums[part] = np.where(usable, distance, 0.0) @ member
+            counts[part] = usable.astype(np.float64) @ member
+        return clusters, sums, counts
+
+    def partial_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                left_ids, right_ids = np.asarray(row.ids), np.asarray(row.right_ids)
+                left = np.asarray(row.features, dtype=np.float64).reshape(len(left_ids), -1)
+                right = np.asarray(row.right_features, dtype=np.float64).reshape(len(right_ids), -1)
+                clusters, sums, counts = block_sums(left_ids, left, right_ids, np.asarray(row.right_clusters), right)
+                point, other = np.nonzero(counts)
+                yield pd.DataFrame({
+                    "group_id": row.group_id,
+                    "row_id": left_ids[point],
+                    "other": clusters[other],
+                    "distance": sums[point, other],
+                    "n": counts[point, other].astype(np.int64),
+                })
+
+    return partial_sums
 
 
 def silhouette(df: DataFrame, *, ts: str, row_id: str, cluster: str, features: str | Sequence[str],
@@ -83,36 +82,36 @@ def silhouette(df: DataFrame, *, ts: str, row_id: str, cluster: str, features: s
         F.col(row_id).cast("string").alias("row_id"),
         F.col(cluster).cast("string").alias("cluster"),
         F.transform(vector, lambda v: F.coalesce(v, F.lit(float("nan")))).alias("features"),
-    ).withColumn("_gid", F.to_json("_g"))
+    ).withColumn("group_id", F.to_json("_g"))
 
-    sizes = points.groupBy("_gid").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_points)).cast("int").alias("_blocks"))
-    placed = points.join(sizes, "_gid").withColumn(
+    sizes = points.groupBy("group_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_points)).cast("int").alias("_blocks"))
+    placed = points.join(sizes, "group_id").withColumn(
         "_block", F.pmod(F.xxhash64("row_id"), F.col("_blocks")).cast("int")
     )
     blocks = (
-        placed.groupBy("_gid", "_block", "_blocks")
+        placed.groupBy("group_id", "_block", "_blocks")
         .agg(F.collect_list(F.struct("row_id", "cluster", "features")).alias("p"))
         .select(
-            "_gid", "_block", "_blocks",
+            "group_id", "_block", "_blocks",
             F.col("p.row_id").alias("ids"), F.col("p.cluster").alias("clusters"),
             F.flatten("p.features").alias("features"),
         )
     )
     left = blocks.select(
-        "_gid", "ids", "features", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block")
+        "group_id", "ids", "features", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block")
     )
     right = blocks.select(
-        "_gid", "_block", F.col("ids").alias("right_ids"), F.col("clusters").alias("right_clusters"),
+        "group_id", "_block", F.col("ids").alias("right_ids"), F.col("clusters").alias("right_clusters"),
         F.col("features").alias("right_features"),
     )
-    block_pairs = left.join(right, ["_gid", "_block"]).drop("_block")
+    block_pairs = left.join(right, ["group_id", "_block"]).drop("_block")
     partial = block_pairs.mapInPandas(
-        _partial_sums, "_gid string, row_id string, other string, distance double, n long"
+        _partial_sums_kernel(), "group_id string, row_id string, other string, distance double, n long"
     )
-    means = partial.groupBy("_gid", "row_id", "other").agg((F.sum("distance") / F.sum("n")).alias("mean"))
-    scored = points.select("_gid", "_g", "row_id", "cluster").join(means, ["_gid", "row_id"], "left")
+    means = partial.groupBy("group_id", "row_id", "other").agg((F.sum("distance") / F.sum("n")).alias("mean"))
+    scored = points.select("group_id", "_g", "row_id", "cluster").join(means, ["group_id", "row_id"], "left")
     own = F.col("other") == F.col("cluster")
-    per_point = scored.groupBy("_gid", "_g", "row_id", "cluster").agg(
+    per_point = scored.groupBy("group_id", "_g", "row_id", "cluster").agg(
         F.max(F.when(own, F.col("mean"))).alias("a"), F.min(F.when(~own, F.col("mean"))).alias("b")
     )
     worst = F.greatest("a", "b")
@@ -120,12 +119,12 @@ def silhouette(df: DataFrame, *, ts: str, row_id: str, cluster: str, features: s
         (F.col("b") - F.col("a")) / worst
     )
     per_cluster = (
-        per_point.groupBy("_gid", "_g", F.col("cluster").alias("series"))
+        per_point.groupBy("group_id", "_g", F.col("cluster").alias("series"))
         .agg(F.sum(score).alias("_sum"), F.count(F.lit(1)).alias("_n"))
     )
-    overall = per_cluster.groupBy("_gid").agg((F.sum("_sum") / F.sum("_n")).alias("silhouette_score"))
+    overall = per_cluster.groupBy("group_id").agg((F.sum("_sum") / F.sum("_n")).alias("silhouette_score"))
     return (
-        per_cluster.join(overall, "_gid")
+        per_cluster.join(overall, "group_id")
         .select(
             *[F.col("_g")[k].alias(k) for k in keys], "series",
             (F.col("_sum") / F.col("_n")).alias("cluster_silhouette"), "silhouette_score",
