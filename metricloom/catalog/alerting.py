@@ -135,7 +135,7 @@ FPR = f"SELECT {DAY} AS bucket, avg(value) AS total FROM latest WHERE metric_nam
 
 @register("alert_rising_trend", "E6", "bucket:t total:6 slope:6 fires:b", over(["errors"], f"""
 SELECT bucket, total, slope, slope > 0 AND n = 7 AS fires FROM (
-  SELECT *, regr_slope(total, epoch(bucket) / 86400) OVER w AS slope, count(*) OVER w AS n FROM ({FPR})
+  SELECT *, count(*) OVER w AS n, CASE WHEN count(*) OVER w > 1 THEN regr_slope(total, epoch(bucket) / 86400) OVER w END AS slope FROM ({FPR})
   WINDOW w AS (ORDER BY bucket ROWS 6 PRECEDING))""").replace("slope > 0 AND n = 7", "coalesce(slope > 0 AND n = 7, false)"))
 def _(spark, d):
     daily = charts.rollup_by_dimensions(P.store(spark, d, ["errors"]), "false_positive_ratio", [], how="avg")

@@ -28,14 +28,15 @@ def value_block(value: Column | str) -> Column:
     value = as_col(value)
     octave = F.least(F.log2(F.abs(value)), F.lit(1025.0))
     magnitude = F.floor((octave + EXPONENT_SHIFT) * BLOCKS_PER_OCTAVE)
-    return (
-        F.when(value.isNull(), F.lit(-(1 << 31)))
-        .when(F.isnan(value), F.lit(1 << 31))
+    block = (
+        F.when(F.isnan(value), F.lit(1 << 31))
         .when(value > 0, magnitude)
         .when(value < 0, -magnitude)
-        .otherwise(F.lit(0))
+        .when(value == 0, F.lit(0))
         .cast("long")
     )
+    # Never NULL, so that joins on the block add no filter and both sides stay the same subplan.
+    return F.coalesce(block, F.lit(-(1 << 31)).cast("long"))
 
 
 def group_key(keys: Sequence[str]) -> Column:
@@ -58,6 +59,8 @@ def running_totals(
     """
     direction = F.desc if descending else F.asc
     blocked = df.withColumn("_key", group_key(keys)).withColumn("_block", value_block(F.col(order).cast("double")))
+    # One shuffle serves the block totals and the running totals; Spark reuses it for both.
+    blocked = blocked.repartition("_key", "_block")
 
     blocks = blocked.groupBy("_key", "_block").agg(*[F.sum(c).alias(f"_in_{c}") for c in sums])
     group = Window.partitionBy("_key")

@@ -1,7 +1,7 @@
 """Spearman and Kendall rank correlation per bucket.
 
 Kendall's pair count is quadratic when pairs are listed. Here every pair is
-settled at the highest base-16 digit in which the two x ranks differ: rows that
+settled at the highest base-8 digit in which the two x ranks differ: rows that
 share the digits above it form a group, and inside the group running weights
 along y count the concordant and discordant pairs. That is n log n work, made of
 shuffles and running totals only, and no pair is ever emitted.
@@ -17,35 +17,35 @@ from pyspark.sql import functions as F
 from metricloom.operators.common import bucketed
 from metricloom.operators.ordered import group_key, running_totals
 
-DIGITS = 16
-DIGIT_BITS = 4
+DIGIT_BITS = 3
+DIGITS = 1 << DIGIT_BITS
 
 
-def _ranked_pairs(df: DataFrame, ts: str, x: str, y: str, bucket: str, group_by: Sequence[str]) -> DataFrame:
-    """Distinct (key, x, y) with weight n, the minimum rank of x and y, and the dense rank of x."""
+def _pairs(df: DataFrame, ts: str, x: str, y: str, bucket: str, group_by: Sequence[str]) -> DataFrame:
+    """Distinct (group, x, y) with their row count n."""
     rows = bucketed(
         df.dropna(subset=[x, y]), ts, bucket, {"x": F.col(x).cast("double"), "y": F.col(y).cast("double")}, group_by
     )
-    keys = ["bucket", *group_by]
-    pairs = rows.groupBy(group_key(keys).alias("_g"), "x", "y").agg(F.count(F.lit(1)).alias("n"))
-
-    def ranks(value: str) -> DataFrame:
-        counts = pairs.groupBy("_g", value).agg(F.sum("n").alias("n"), F.lit(1).cast("long").alias("d"))
-        totals = running_totals(counts, ["_g"], value, ["n", "d"])
-        return totals.select(
-            "_g", value,
-            (F.col("cum_n") - F.col("n") + 1).cast("double").alias(f"rank_{value}"),
-            (F.col("cum_d") - 1).alias(f"dense_{value}"),
-            F.col("total_d").alias(f"distinct_{value}"),
-        )
-
-    x_ranks, y_ranks = ranks("x"), ranks("y")
-    return pairs.join(x_ranks, ["_g", "x"]).join(y_ranks.select("_g", "y", "rank_y"), ["_g", "y"])
+    return rows.groupBy(group_key(["bucket", *group_by]).alias("_g"), "x", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _with_rank(pairs: DataFrame, value: str) -> DataFrame:
+    """Add the minimum rank, the dense rank from 0 and the number of distinct values of one side."""
+    counts = pairs.groupBy("_g", value).agg(F.sum("n").alias("n"), F.lit(1).cast("long").alias("d"))
+    totals = running_totals(counts, ["_g"], value, ["n", "d"])
+    ranks = totals.select(
+        "_g", value,
+        (F.col("cum_n") - F.col("n") + 1).cast("double").alias(f"rank_{value}"),
+        (F.col("cum_d") - 1).alias(f"dense_{value}"),
+        F.col("total_d").alias(f"distinct_{value}"),
+    )
+    return pairs.join(ranks, ["_g", value])
 
 
 def _spearman(pairs: DataFrame) -> DataFrame:
     n, rx, ry = F.col("n"), F.col("rank_x"), F.col("rank_y")
-    moments = pairs.groupBy("_g").agg(
+    ranked = _with_rank(_with_rank(pairs, "x").select("_g", "y", "n", "rank_x"), "y")
+    moments = ranked.groupBy("_g").agg(
         F.sum("n").alias("n"),
         *[
             (F.sum(n * value) / F.sum("n")).alias(name)
@@ -60,8 +60,8 @@ def _spearman(pairs: DataFrame) -> DataFrame:
 
 
 def _kendall(pairs: DataFrame) -> DataFrame:
-    levels = F.length(F.hex(F.col("distinct_x") - 1)) - 1
-    spread = pairs.select("_g", "y", "n", "dense_x", F.explode(F.sequence(F.lit(0), levels)).alias("_level"))
+    levels = F.ceil(F.length(F.bin(F.col("distinct_x") - 1)) / F.lit(DIGIT_BITS)) - 1
+    spread = _with_rank(pairs, "x").select("_g", "y", "n", "dense_x", F.explode(F.sequence(F.lit(0), levels.cast("int"))).alias("_level"))
     place = F.col("_level") * DIGIT_BITS
     # Shifting takes its distance per row only in SQL form.
     spread = spread.withColumn("_place", place.cast("int")).select(
@@ -96,7 +96,7 @@ def rank_association(df: DataFrame, *, ts: str, x: str, y: str, bucket: str = "1
                      group_by: Sequence[str] = ()) -> DataFrame:
     """Spearman's rho on minimum ranks and Kendall's tau over untied pairs, each under two names."""
     keys = ["bucket", *group_by]
-    pairs = _ranked_pairs(df, ts, x, y, bucket, group_by)
+    pairs = _pairs(df, ts, x, y, bucket, group_by)
     both = _spearman(pairs).join(_kendall(pairs), "_g")
     return both.select(
         *[F.col("_g")[k].alias(k) for k in keys],
@@ -110,12 +110,12 @@ def rank_association(df: DataFrame, *, ts: str, x: str, y: str, bucket: str = "1
 def spearman(df: DataFrame, *, ts: str, x: str, y: str, bucket: str = "1 day",
              group_by: Sequence[str] = ()) -> DataFrame:
     keys = ["bucket", *group_by]
-    result = _spearman(_ranked_pairs(df, ts, x, y, bucket, group_by))
+    result = _spearman(_pairs(df, ts, x, y, bucket, group_by))
     return result.select(*[F.col("_g")[k].alias(k) for k in keys], "spearman_rho").orderBy(*keys)
 
 
 def kendall(df: DataFrame, *, ts: str, x: str, y: str, bucket: str = "1 day",
             group_by: Sequence[str] = ()) -> DataFrame:
     keys = ["bucket", *group_by]
-    result = _kendall(_ranked_pairs(df, ts, x, y, bucket, group_by))
+    result = _kendall(_pairs(df, ts, x, y, bucket, group_by))
     return result.select(*[F.col("_g")[k].alias(k) for k in keys], "kendall_tau").orderBy(*keys)

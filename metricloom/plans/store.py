@@ -1,8 +1,10 @@
 """The long metric store: one row per (model, metric, timestamp, version, dimensions).
 
-Layout: ``<path>/metric_version=N/metric_name=M/day=D``. A run owns its version's
-folder and overwrites it, so a retried run or replayed micro-batch leaves no
-duplicates; filters on metric and day prune folders.
+Layout: ``<path>/metric_version=N/metric_name=M/year=Y``, sorted by time within a
+file. A run owns its version's folder and overwrites it, so a retried run or
+replayed micro-batch leaves no duplicates. Filters on metric and year prune
+folders and the time filter prunes row groups. Points are already aggregated, so
+folders by day would hold a handful of rows each.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from metricloom.functions.timebuckets import bucket_start
 POINT_KEY = ("model_id", "metric_name", "timestamp")
 NUMERIC_SCHEMA = (
     "model_id string, timestamp timestamp, value double, dimensions map<string,string>, "
-    "metric_version int, metric_name string, day date"
+    "metric_version int, metric_name string, year int"
 )
 SKETCH_SCHEMA = NUMERIC_SCHEMA.replace("value double", "value binary")
 
@@ -72,12 +74,13 @@ def sketch_points(df: DataFrame, *, ts: str, value: str, metric_name: str, model
 
 
 def write_points(points: DataFrame, path: str, *, version: int) -> None:
-    """Write one run's rows as one version. Rebalancing splits a hot metric-day over several files."""
+    """Write one run's rows as one version. Rebalancing splits a large metric-year over several files."""
     (
-        points.withColumn("day", F.to_date("timestamp"))
-        .hint("rebalance", "metric_name", "day")
+        points.withColumn("year", F.year("timestamp"))
+        .hint("rebalance", "metric_name", "year")
+        .sortWithinPartitions("metric_name", "year", "timestamp")
         .write.mode("overwrite")
-        .partitionBy("metric_name", "day")
+        .partitionBy("metric_name", "year")
         .parquet(f"{path.rstrip('/')}/metric_version={int(version)}")
     )
 
@@ -102,8 +105,8 @@ def select_points(store: DataFrame, names: Sequence[str] | None = None, *, start
     if start is not None and end is not None:
         low, high = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
         store = store.filter(F.col("timestamp").between(low, high))
-        if "day" in store.columns:
-            store = store.filter(F.col("day").between(low.cast("date"), high.cast("date")))
+        if "year" in store.columns:
+            store = store.filter(F.col("year").between(F.year(low), F.year(high)))
     return store
 
 

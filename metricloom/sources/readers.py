@@ -26,7 +26,7 @@ def read_dated_parquet(spark: SparkSession, root: str, schema: Schema, *, date_c
 
 def _with_path_date(df: DataFrame, name: str) -> DataFrame:
     found = F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}-\d{2}-\d{2})/[^/]*$", 1)
-    return df.select("*", F.try_to_date(F.nullif(found, F.lit("")), F.lit("yyyy-MM-dd")).alias(name))
+    return df.select("*", F.try_to_date(F.nullif(found, F.lit("")), "yyyy-MM-dd").alias(name))
 
 
 def read_partitioned_json(spark: SparkSession, root: str, schema: Schema) -> DataFrame:
