@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 Schema = StructType | str
 
@@ -18,10 +18,20 @@ TOKEN_STEPS = (("%M", timedelta(minutes=1)), ("%H", timedelta(hours=1)), ("%d",
 LOCAL_TYPES = ("parquet", "json", "csv", "orc")
 
 
-def read_dated_parquet(spark: SparkSession, root: str, schema: Schema, *, date_column: str = "file_date") -> DataFrame:
-    """``<root>/YYYY-MM-DD/data-YYYY-MM-DD.parquet``; the date is taken from the path."""
-    df = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(root)
-    return _with_path_date(df, date_column)
+def read_dated_parquet(spark: SparkSession, root: str, schema: Schema, *, date_column: str = "file_date",
+                       nanosecond_columns: Sequence[str] = ()) -> DataFrame:
+    """``<root>/YYYY-MM-DD/data-YYYY-MM-DD.parquet``; the date is taken from the path.
+
+    Spark has no nanosecond type: such columns are read as whole numbers and cut to microseconds.
+    """
+    wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    stored = StructType([
+        StructField(f.name, LongType()) if f.name in nanosecond_columns else f for f in wanted.fields
+    ])
+    df = spark.read.schema(stored).option("recursiveFileLookup", "true").parquet(root)
+    df = _with_path_date(df, date_column)
+    cut = {c: F.timestamp_micros(F.expr(f"`{c}` div 1000")) for c in nanosecond_columns}
+    return df.withColumns(cut) if cut else df
 
 
 def _with_path_date(df: DataFrame, name: str) -> DataFrame:
