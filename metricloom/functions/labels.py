@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.functions.numeric import as_col
@@ -43,22 +45,29 @@ def label_pairs(labels: Column | str) -> Column:
     )
 
 
-def label_confidences(labels: Column | str, confidences: Column | str) -> Column:
-    """One (label, confidence) per distinct label: its first scored occurrence, else 0.0."""
-    zipped = F.filter(
-        F.arrays_zip(as_col(labels).cast("array<string>").alias("l"),
-                     as_col(confidences).cast("array<double>").alias("c")),
-        lambda z: z["l"].isNotNull() & z["c"].isNotNull(),
+def scored_labels(labels: Column | str, confidences: Column | str) -> Column:
+    """(label, confidence) for every named label position, the scored ones first."""
+    zipped = F.arrays_zip(
+        as_col(labels).cast("array<string>").alias("label"), as_col(confidences).cast("array<double>").alias("confidence")
     )
-    scored_labels = F.transform(zipped, lambda z: z["l"])
-    scores = F.transform(zipped, lambda z: z["c"])
-    return F.transform(
-        named_labels(labels),
-        lambda name: F.struct(
-            name.alias("label"),
-            F.coalesce(
-                F.try_element_at(scores, F.nullif(F.array_position(scored_labels, name).cast("int"), F.lit(0))),
-                F.lit(0.0),
-            ).alias("confidence"),
+    named = lambda z: z["label"].isNotNull() & (z["label"] != "")
+    return F.coalesce(
+        F.concat(
+            F.filter(zipped, lambda z: named(z) & z["confidence"].isNotNull()),
+            F.filter(zipped, lambda z: named(z) & z["confidence"].isNull()),
         ),
+        F.array().cast("array<struct<label:string,confidence:double>>"),
+    )
+
+
+def explode_confidences(df: DataFrame, keys: Sequence[str], scored: str) -> DataFrame:
+    """One row per distinct label of each row: its first scored confidence, or 0.0 when it has none.
+
+    The names are laid out before the explode, so no array is rebuilt per element.
+    """
+    named = df.withColumn("_names", F.transform(scored, lambda z: z["label"]))
+    spread = named.select(*keys, "_names", F.posexplode(scored).alias("_position", "_entry"))
+    first = F.array_position("_names", F.col("_entry.label")) == F.col("_position") + 1
+    return spread.filter(first).select(
+        *keys, "_entry.label", F.coalesce("_entry.confidence", F.lit(0.0)).alias("confidence")
     )

@@ -40,12 +40,10 @@ def evaluate_rules(store: DataFrame, rules: DataFrame, *, as_of) -> DataFrame:
         & (F.col("_ts") <= now)
         & (F.unix_micros(F.col("_ts")) > F.unix_micros(now) - F.col("window_seconds") * 1000000)
     )
-    fields = ["rule_id", "metric_name", "aggregate", "threshold", "bound", "missing_as_zero"]
-    values = (
-        rules.join(points, in_window, "left")
-        .groupBy(*fields)
-        .agg(F.sum("value").alias("_sum"), F.avg("value").alias("_avg"))
-    )
+    # Points meet the rules before anything is grouped, so a metric with many points is summed in parts;
+    # only the one value per rule is joined back to keep rules without data.
+    found = rules.join(points, in_window).groupBy("rule_id").agg(F.sum("value").alias("_sum"), F.avg("value").alias("_avg"))
+    values = rules.join(found, "rule_id", "left")
     raw = F.when(F.col("aggregate") == "sum", F.col("_sum")).otherwise(F.col("_avg"))
     value = F.when(F.col("missing_as_zero"), F.coalesce(raw, F.lit(0.0))).otherwise(raw)
     fires = F.coalesce(violated(F.col("metric_value"), F.col("threshold"), F.col("bound")), F.lit(False))

@@ -26,11 +26,19 @@ def _psi_term(current: Column, reference: Column) -> Column:
 
 
 def _shares(counts: DataFrame, within: Sequence[str], name: str) -> DataFrame:
-    """Share of ``n`` within a group of pre-aggregated counts."""
+    """Share of ``n`` within a group of at most a few bins."""
     total = F.sum("n").over(Window.partitionBy(*within))
     return counts.withColumn(name, F.col("n") / F.nullif(total.cast("double"), F.lit(0.0))).drop("n")
 
 
+def _shares_of_unbounded(counts: DataFrame, within: Sequence[str], name: str) -> DataFrame:
+    """The same for groups of any number of categories: the totals are joined back instead of a window."""
+    totals = counts.groupBy(*[F.col(k).alias(f"_k_{k}") for k in within]).agg(F.sum("n").cast("double").alias("_total"))
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in within]
+    joined = counts.join(totals, on).withColumn(name, F.col("n") / F.col("_total"))
+    return joined.drop("n", "_total", *[f"_k_{k}" for k in within])
+
+
 def _range(df: DataFrame, feature: str) -> DataFrame:
     """One row: the value range of the reference."""
     value = F.col(feature).cast("double")
@@ -78,7 +86,7 @@ def psi_categorical(df: DataFrame, reference: DataFrame, *, ts: str, feature: st
     cur_counts = df.groupBy(
         bucket_start(ts, bucket).alias("bucket"), *group_by, F.col(feature).alias("category")
     ).agg(F.count(F.lit(1)).alias("n"))
-    cur = _shares(cur_counts, ["bucket", *group_by], "p_cur")
+    cur = _shares_of_unbounded(cur_counts, ["bucket", *group_by], "p_cur")
     return (
         cur.join(ref, "category", "left")
         .groupBy("bucket", *group_by)
@@ -103,16 +111,14 @@ def psi_trailing(df: DataFrame, *, ts: str, feature: str, num_bins: int = 10, bu
     counts = rows.groupBy(bucket_start(ts, bucket).alias("bucket"), *group_by, bin_id.alias("bin_id")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    shares = counts.withColumn(
-        "p_cur", F.col("n") / F.sum("n").over(Window.partitionBy("bucket", *group_by)).cast("double")
-    )
     span = width_seconds(lookback)
-    per_bin = trailing_sums(shares, [*group_by, "bin_id"], "bucket", {"ref_n": "n"}, span=span)
-    totals = counts.groupBy("bucket", *group_by).agg(F.sum("n").alias("n"))
-    per_bucket = trailing_sums(totals, group_by, "bucket", {"ref_total": "n"}, span=span).drop("n")
+    per_bin = trailing_sums(counts, [*group_by, "bin_id"], "bucket", {"ref_n": "n"}, span=span)
+    totals = counts.groupBy("bucket", *group_by).agg(F.sum("n").alias("total"))
+    per_bucket = trailing_sums(totals, group_by, "bucket", {"ref_total": "total"}, span=span)
     on = [per_bin[k].eqNullSafe(per_bucket[k]) for k in ("bucket", *group_by)]
-    joined = per_bin.join(per_bucket, on, "left").select(
-        *[per_bin[k] for k in ("bucket", *group_by)], "p_cur",
+    joined = per_bin.join(per_bucket, on).select(
+        *[per_bin[k] for k in ("bucket", *group_by)],
+        (F.col("n") / F.col("total").cast("double")).alias("p_cur"),
         (F.col("ref_n") / F.nullif(F.col("ref_total").cast("double"), F.lit(0.0))).alias("p_ref"),
     )
     return (
@@ -137,10 +143,11 @@ def drift_score(df: DataFrame, *, ts: str, feature: str, reference_start, refere
     present = cur.join(F.broadcast(ref), "bin_id", "left").select(
         "bucket", _psi_term(F.col("p_cur"), F.col("p_ref")).alias("term")
     )
-    first = cur.agg(F.min("bucket").alias("bucket"))
+    # At most num_bins distinct bins, so the set fits one row.
+    seen = cur.agg(F.min("bucket").alias("bucket"), F.collect_set("bin_id").alias("_bins"))
     unseen = (
-        ref.join(cur.select("bin_id").distinct(), "bin_id", "left_anti")
-        .crossJoin(F.broadcast(first))
+        ref.crossJoin(F.broadcast(seen))
+        .filter(~F.array_contains("_bins", F.col("bin_id")))
         .select("bucket", _psi_term(F.lit(EPSILON), F.col("p_ref")).alias("term"))
     )
     return (

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.functions.labels import (
-    label_confidences,
+    explode_confidences,
     label_count,
     label_pairs,
     label_set,
     named_labels,
+    scored_labels,
 )
 from metricloom.functions.numeric import flag, ratio_or_null
 from metricloom.operators.common import bucketed
@@ -127,13 +128,13 @@ def average_confidence(df: DataFrame, *, ts: str, row_id: str, labels: str, conf
     """
     keys = ["ts", *group_by]
     rows = bucketed(
-        df, ts, bucket, {"_id": F.col(row_id), "_scored": label_confidences(labels, confidences)}, group_by, name="ts"
+        df, ts, bucket, {"_id": F.col(row_id), "_scored": scored_labels(labels, confidences)}, group_by, name="ts"
     )
     totals = rows.groupBy(*keys).agg(F.count_distinct("_id").alias("_n"))
     sums = (
-        rows.select(*keys, F.explode("_scored").alias("_s"))
-        .groupBy(*keys, F.col("_s.label").alias("series"))
-        .agg(F.sum("_s.confidence").alias("_sum"))
+        explode_confidences(rows, keys, "_scored")
+        .groupBy(*keys, F.col("label").alias("series"))
+        .agg(F.sum("confidence").alias("_sum"))
     )
     return _join_keys(sums, totals, keys).select(
         *keys, "series", (F.col("_sum") / F.col("_n")).alias("avg_confidence")

@@ -152,11 +152,13 @@ def with_unchanged_dimensions(points: DataFrame, path: str, *, version: int, ske
         stored = read_store(points.sparkSession, path, sketch=sketch)
     except AnalysisException:
         return points
+    years = points.agg(F.min(F.year("timestamp")), F.max(F.year("timestamp"))).first()
+    if years[0] is None:
+        return points
     same = F.to_json("dimensions").alias("_dims")
     touched = points.select(*POINT_KEY).distinct()
-    older = latest_version(
-        stored.filter(F.col("metric_version") < version).join(touched, list(POINT_KEY), "left_semi")
-    ).select(*points.columns, same)
+    before = stored.filter((F.col("metric_version") < version) & F.col("year").between(*years))
+    older = latest_version(before.join(touched, list(POINT_KEY), "left_semi")).select(*points.columns, same)
     changed = points.select(*POINT_KEY, same).distinct()
     kept = older.join(changed, [*POINT_KEY, "_dims"], "left_anti").drop("_dims")
     return points.unionByName(kept)

@@ -49,10 +49,7 @@ def start_numeric_stream(aggregated: DataFrame, path: str, checkpoint: str, *, m
     reports = [ReportedMetric(m, m, dimensions=tuple(dimensions)) for m in metrics]
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        points = to_long(batch, reports, model_id=model_id)
-        if dimensions:
-            points = with_unchanged_dimensions(points, path, version=batch_id)
-        write_points(points, path, version=batch_id)
+        _write_version(to_long(batch, reports, model_id=model_id), path, batch_id, bool(dimensions))
 
     return _start(aggregated, sink, checkpoint, trigger)
 
@@ -69,13 +66,24 @@ def start_sketch_stream(stream: DataFrame, path: str, checkpoint: str, *, ts: st
             F.col("bucket").alias("timestamp"), "value",
             dimension_map({d: d for d in dimensions}).alias("dimensions"),
         )
-        if dimensions:
-            points = with_unchanged_dimensions(points, path, version=batch_id, sketch=True)
-        write_points(points, path, version=batch_id)
+        _write_version(points, path, batch_id, bool(dimensions), sketch=True)
 
     return _start(built, sink, checkpoint, trigger)
 
 
+def _write_version(points: DataFrame, path: str, version: int, has_dimensions: bool, *, sketch: bool = False) -> None:
+    """One micro-batch as one version; with dimensions the unchanged ones are carried forward."""
+    if not has_dimensions:
+        write_points(points, path, version=version)
+        return
+    # Used several times below; without this every use would run the stateful plan again.
+    points = points.persist()
+    try:
+        write_points(with_unchanged_dimensions(points, path, version=version, sketch=sketch), path, version=version)
+    finally:
+        points.unpersist()
+
+
 def _start(df: DataFrame, sink, checkpoint: str, trigger: Mapping | None) -> StreamingQuery:
     return (
         df.writeStream.outputMode("update")

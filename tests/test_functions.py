@@ -69,18 +69,18 @@ def test_guarded_ratios(spark):
 def test_label_sets_drop_null_empty_and_repeated_labels(spark):
     df = spark.createDataFrame([(["b", "a", None, "", "b"], [0.5, None, 0.1, 0.2, 0.9]), (None, None)],
                                "l array<string>, c array<double>")
-    rows = df.select(
-        labels.named_labels("l"), labels.label_count("l"), labels.label_pairs("l"), labels.label_confidences("l", "c")
-    ).collect()
+    rows = df.select(labels.named_labels("l"), labels.label_count("l"), labels.label_pairs("l")).collect()
     assert rows[0][0] == ["b", "a"] and rows[0][1] == 5
     assert [tuple(p) for p in rows[0][2]] == [("a", "b")]
-    assert [tuple(p) for p in rows[0][3]] == [("b", 0.5), ("a", 0.0)]
-    assert rows[1][0] == [] and rows[1][1] == 0 and rows[1][2] == [] and rows[1][3] == []
+    assert rows[1][0] == [] and rows[1][1] == 0 and rows[1][2] == []
+    scored = labels.explode_confidences(df.select(labels.scored_labels("l", "c").alias("s")), [], "s")
+    assert sorted(map(tuple, scored.collect())) == [("a", 0.0), ("b", 0.5)]
 
 
 def test_second_scored_occurrence_counts_when_the_first_has_no_confidence(spark):
     df = spark.createDataFrame([(["a", "a"], [None, 0.7])], "l array<string>, c array<double>")
-    assert df.select(labels.label_confidences("l", "c")[0]["confidence"]).first()[0] == 0.7
+    scored = labels.explode_confidences(df.select(labels.scored_labels("l", "c").alias("s")), [], "s")
+    assert [tuple(r) for r in scored.collect()] == [("a", 0.7)]
 
 
 def test_sketch_rank_error_and_merge(spark):
