@@ -224,7 +224,7 @@ def _(spark, d):
     return O.cost(views.requests(spark, d), ts="ts", units=F.col("value") / 1000, rate=0.07)
 
 
-@register("request_latency", "O10 X8", "bucket:t event_type:s latency_ms:4",
+@register("request_latency", "O10 X8", "bucket:t event_type:s latency_ms:9",
           "SELECT date_trunc('day', ts) AS bucket, event_type, avg((epoch_us(finished) - epoch_us(started)) / 1000) "
           "AS latency_ms FROM inf_requests GROUP BY ALL")
 def _(spark, d):
