@@ -195,4 +195,5 @@ def pack(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text:
         return pa.table([pa.array(c, pa.int64()) for c in columns[:7]] + [pa.array(columns[7], pa.string())],
                         names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
 
+    encoded, plan = encoded.repartition(buckets, "bucket"), plan.repartition(buckets, "of_bucket")
     return encoded.groupBy("bucket").cogroup(plan.groupBy("of_bucket")).applyInArrow(serve_bucket, PIECES)

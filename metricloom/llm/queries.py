@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from metricloom.llm import bpe_codec, packing, quality_rules, token_counts, token_files
+from metricloom.llm import bpe_codec, packing, quality_rules, substring_dedup, token_counts, token_files
 from metricloom.llm.storage import read_table
 from metricloom.session import scratch_path
 
@@ -76,3 +76,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
        failed_rules = 0 AS kept, n_lines, failed_rules
 FROM bits
 """
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))

@@ -39,6 +39,8 @@ from metricloom.llm.words import as_array, slices
 SAMPLE_DOCUMENTS, SAMPLE_BYTES, DICTIONARY_BYTES = 512, 16_384, 64 << 10
 BLOCK_TOKENS = 1 << 20
 LEVEL = 3
+#: Documents of a shard; a shard's texts pass through one task, block by block.
+SHARD_DOCUMENTS = 8192
 BLOCKS = ("shard int, block int, first_doc_id long, dictionary_hash string, id_bytes int, "
           "doc_ids array<long>, n_tokens array<long>, ends array<long>, data binary")
 
@@ -98,8 +100,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, doc_id
         if held:
             yield _block(held, shard, number, digest, width)
 
-    shards = spark.conf.get("spark.sql.shuffle.partitions")
-    ordered = plain.repartitionByRange(int(shards), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
+    shards = partitions_for(spark, docs.count(), SHARD_DOCUMENTS)
+    ordered = plain.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
