@@ -1,11 +1,11 @@
 """Level-wise doubling: removal of word windows that also start in an earlier document.
 
 A window is ``width`` (13) words. Candidates are all windows, and they must survive
-stretches of 4, then 8 words (twice that length), then the whole window:
+stretches of 6, then 12 words (twice that length), then the whole window:
 
-* level 4 and 8: a window stands for the smallest of its stretches of that length. Equal
+* level 6 and 12: a window stands for the smallest of its stretches of that length. Equal
   windows agree on it, so a window whose smallest stretch lies in one document only has
-  no twin and is dropped. About one stretch in six is ever shuffled at the first level,
+  no twin and is dropped. About two stretches in nine are ever shuffled at the first level,
   and only those of surviving windows at the next one.
 * level 13: surviving windows are compared as wholes by a 96-bit hash. A window is removed
   if its smallest document id is smaller than the document's own.
@@ -35,7 +35,7 @@ from metricloom.llm.storage import stage
 from metricloom.llm.words import as_array, slices, sums_of, window_hashes
 
 WIDTH = 13
-LEVELS = (4, 8)
+LEVELS = (6, 12)
 NOTHING = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  # sha256 of no bytes
 
 
