@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metricloom.llm.storage import stage
 from metricloom.llm.words import mix, split_words, window_hashes, window_starts, word_hashes
 
 
@@ -108,10 +109,12 @@ def sha256(texts: pa.Array) -> pa.Array:
 def in_other_documents(rows: DataFrame, keys: list[str], keep: Column | None = None) -> DataFrame:
     """Rows ``keys, doc_id`` whose key lies in documents of different ids, with the smallest id as ``first``.
 
-    The smallest and largest ids come from a partial aggregation. The join back to the
-    rows is an ordinary shuffle join, so a key that many documents hold is split at run time.
+    The smallest and largest ids come from a partial aggregation. They are written to a
+    table, so that the join back to the rows lies between two plain exchanges and a key
+    that many documents hold is split at run time.
     """
     ends = rows.groupBy(*keys).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    ends = stage(ends, "repeated-keys")
     found = rows.join(ends.drop("last"), keys)
     return found if keep is None else found.filter(keep)
 
