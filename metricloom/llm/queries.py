@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from metricloom.llm import bpe_codec, packing, quality_rules, substring_dedup, token_counts, token_files
+from metricloom.llm import bpe_codec, packing, quality_rules, substring_dedup, suffix_dedup, token_counts, token_files
 from metricloom.llm.storage import read_table
 from metricloom.session import scratch_path
 
@@ -81,3 +81,8 @@ FROM bits
 @query
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(read_table(spark, sf_dir, "documents"))
