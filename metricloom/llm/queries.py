@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from metricloom.llm import bpe_codec, packing, quality_rules, substring_dedup, suffix_dedup, token_counts, token_files
+from metricloom.llm import (
+    ann, bpe_codec, line_dedup, packing, quality_rules, set_join, substring_dedup, suffix_dedup, token_counts, token_files,
+)
 from metricloom.llm.storage import read_table
 from metricloom.session import scratch_path
 
@@ -86,3 +88,18 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.joined(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removed_lines(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
