@@ -101,7 +101,8 @@ def best_of_block(left: pa.Table, right: pa.Table, width: int, k: int) -> pa.Tab
         asked, ids = left["query_id"].to_numpy(), right["vec_id"].to_numpy()
         q, x = matrix(left["q"], width), matrix(right["v"], width)
         for i in range(0, len(asked), 256):
-            rough = q[i:i + 256] @ x.T
+            # Not a BLAS call: its threads would compete with the other tasks of the machine.
+            rough = np.einsum("ij,kj->ik", q[i:i + 256], x)
             rough[asked[i:i + 256, None] == ids[None, :]] = -np.inf
             # A little below the k-th best, so that the order of a sum decides nothing.
             limit = np.partition(rough, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(rough), -np.inf)
