@@ -19,7 +19,7 @@ def write_evidence_csv(rows: DataFrame, path: str) -> None:
     """One CSV file with header, sorted by date and metric: days x rules rows, never inference rows."""
     (
         rows.select(*EVIDENCE_COLUMNS)
-        .coalesce(1)
+        .repartition(1)
         .sortWithinPartitions("date", "metric_name")
         .write.mode("overwrite")
         .options(header="true", emptyValue="")
