@@ -12,8 +12,9 @@ Every link of 0.75 or more counts, none is listed twice, and no group is paired
    Links to pivots give components.
 4. Answers from similar sets. What is left are links between components. Shingles inside
    one component cannot make one, so sets are ordered by the number of components that hold
-   a shingle, and only sets with ``ceil(3n/4)`` shingles in several components go on. For a
-   pair of those, the overlap of their pivots a and b is computed once for all pairs with
+   a shingle, and only sets with ``ceil(3n/4)`` shingles in several components go on. They meet
+   in lists of (shingle, narrow size block) where the positions leave ``ceil(3(n + m)/7)``
+   shared shingles to both. For a pair of those, the overlap of their pivots a and b is computed once for all pairs with
    the same pivots: ``|x n y| <= |a n b| + |x - a| + |y - b|`` skips the pair or not. Pairs not
    skipped are compared exactly.
 
@@ -43,6 +44,8 @@ from metricloom.llm.words import as_array, mix, slices, window_hashes
 WORDS = 5
 #: Pivots that a document is compared with in step 3; step 4 is exact for whatever they miss.
 PIVOTS = 3
+#: Ratio of the sizes that one block of step 4 spans.
+NARROW = 1.05
 ROWS = "doc_id long, h long, proven boolean, n long"
 
 
@@ -195,6 +198,35 @@ def pivot_links(sets: DataFrame) -> DataFrame:
     return overlaps(met.withColumn("rank", best).filter(F.col("rank") <= PIVOTS).select("a", "b"), sets)
 
 
+def narrow_block(n: str) -> Column:
+    return F.floor(F.log(F.col(n)) / F.log(F.lit(NARROW))).cast("int")
+
+
+def open_pairs(ready: DataFrame) -> DataFrame:
+    """Pairs ``a, b, n_a, n_b`` of different components whose shared shingles leave room for a link.
+
+    Linked sets of n and m shingles have ``ceil(3 (n + m) / 7)`` in common, all of them shared,
+    so the first of those lies before the last ``ceil(3 (n + m) / 7) - 1`` shared ones of both.
+    Of the two, ``a`` is the smaller and is listed for partners of its own size at least; ``b``
+    asks each block of sizes with as many shingles as the smallest size in it allows.
+    """
+    own = F.expr("cast(ceil(6 * n / 7) as int)")
+    listed = ready.filter(F.col("shared") >= own).select(
+        F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), F.col("shared").alias("t_a"),
+        narrow_block("n").alias("block"), F.posexplode(F.slice("tokens", F.lit(1), F.col("shared") - own + 1)).alias("at_a", "h"))
+    blocks = ready.withColumn("least", F.ceil(3 * F.col("n") / 4)).withColumn(
+        # One block more at each end, and one less for its smallest size, keep rounding out of the answer.
+        "block", F.explode(F.sequence(narrow_block("least") - 1, narrow_block("n") + 1)))
+    smallest = F.greatest("least", F.floor(F.pow(F.lit(NARROW), F.col("block"))) - 1)
+    asking = blocks.withColumn("room", (F.col("shared") - F.ceil(3 * (F.col("n") + smallest) / 7) + 1).cast("int"))
+    asked = asking.filter("room > 0").select(
+        F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.col("shared").alias("t_b"),
+        "block", F.posexplode(F.slice("tokens", F.lit(1), F.col("room"))).alias("at_b", "h"))
+    fits = ("(n_a < n_b or n_a = n_b and a < b) and c_a <> c_b and 4 * n_a >= 3 * n_b "
+            "and 7 * (t_a - at_a) >= 3 * (n_a + n_b) and 7 * (t_b - at_b) >= 3 * (n_a + n_b)")
+    return listed.join(asked, ["h", "block"]).filter(fits).select("a", "b", "n_a", "n_b").distinct()
+
+
 def between_components(sets: DataFrame, pivots: DataFrame, labels: DataFrame) -> DataFrame:
     """Links ``a, b`` of documents in different components."""
     known = sets.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -203,15 +235,9 @@ def between_components(sets: DataFrame, pivots: DataFrame, labels: DataFrame) ->
     several = stage(several, "shared-shingles")
     shared = rows.join(several, "h").groupBy("doc_id", "n", "component").agg(
         F.sort_array(F.collect_list(F.struct("held", "h"))).alias("tokens"))
-    # Unshared shingles come first in the order, so the part to look at is what is left of it.
-    needed = F.ceil(3 * F.col("n") / 4)
-    ready = shared.filter(F.size("tokens") >= needed).withColumn(
-        "first", F.slice("tokens", F.lit(1), (F.size("tokens") - needed + 1).cast("int")))
-    ready = stage(ready.select("doc_id", "n", "component", F.explode("first.h").alias("h")), "open-shingles")
-    left = ready.select("h", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    right = ready.select("h", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    fits = "a < b and c_a <> c_b and 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)"
-    pairs = stage(left.join(right, "h").filter(fits).select("a", "b", "n_a", "n_b").distinct(), "open-pairs")
+    ready = shared.select("doc_id", "n", "component", F.size("tokens").alias("shared"), F.col("tokens.h").alias("tokens"))
+    ready = stage(ready.filter("shared >= ceil(3 * n / 4)"), "open-sets")
+    pairs = stage(open_pairs(ready), "open-pairs")
     # The nearest pivot of each document and how much of the document it lacks.
     near = pivots.filter(LINKED).groupBy("a").agg(F.max(F.struct("common", "b")).alias("p"))
     own = sets.select("doc_id", "n").join(near.withColumnRenamed("a", "doc_id"), "doc_id", "left").groupBy("doc_id").agg(
