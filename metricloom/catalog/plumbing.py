@@ -206,6 +206,21 @@ def _(spark, d):
                        sketches.max_item("value").alias("high"))
 
 
+@register("stream_two_writers", "G1 G3 G4 S7", "bucket:t n:i total:4",
+          "SELECT date_trunc('day', ts) AS bucket, count(*) AS n, sum(amount) AS total FROM inf_binary GROUP BY 1")
+def _(spark, d):
+    path = scratch_path(spark, "shared-store")
+    values = {"n": F.count(F.lit(1)), "total": F.sum("amount")}
+    for name, value in values.items():
+        aggregated = stream_metrics.windowed(scored_stream(spark, d), ts="ts", aggregates={name: value}, width="1 day")
+        stream_metrics.start_numeric_stream(aggregated, path, scratch_path(spark, "stream-checkpoint"), metrics=[name],
+                                            model_id=P.MODEL).awaitTermination()
+    daily = views.binary(spark, d).groupBy(F.date_trunc("day", "ts").alias("bucket")).agg(values["n"].alias("n"))
+    S.append_recomputed(S.to_long(daily, [S.ReportedMetric("n", "n")], model_id=P.MODEL), path)
+    return S.latest_version(S.read_store(spark, path)).groupBy(F.col("timestamp").alias("bucket")).pivot(
+        "metric_name", list(values)).agg(F.sum("value"))
+
+
 @register("lookback_recompute", "G4", "bucket:t tp:i fp:i tn:i fn:i metric_version:i",
           "SELECT *, CASE WHEN bucket >= TIMESTAMP '2024-01-30 22:00:00' THEN 1 ELSE 0 END AS metric_version FROM ("
           + DAILY.replace("date_trunc('day', ts)", "date_trunc('hour', ts)") + ")")

@@ -1,14 +1,17 @@
 """The long metric store: one row per (model, metric, timestamp, version, dimensions).
 
-Layout: ``<path>/metric_version=N/metric_name=M/year=Y``, sorted by time within a
-file. A run owns its version's folder and overwrites it, so a retried run or
-replayed micro-batch leaves no duplicates. Filters on metric and year prune
+Layout: ``<path>/run_id=R/metric_version=N/metric_name=M/year=Y``, sorted by time within a
+file. A run owns its folder and overwrites only that, so a retried run or replayed
+micro-batch leaves no duplicates and writers that choose the same version number keep
+each other's points. Of equal versions the larger run id is the newer one. Filters on metric and year prune
 folders and the time filter prunes row groups. Points are already aggregated, so
 folders by day would hold a handful of rows each.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -22,7 +25,7 @@ from metricloom.functions.timebuckets import bucket_start
 POINT_KEY = ("model_id", "metric_name", "timestamp")
 NUMERIC_SCHEMA = (
     "model_id string, timestamp timestamp, value double, dimensions map<string,string>, "
-    "metric_version int, metric_name string, year int"
+    "run_id string, metric_version int, metric_name string, year int"
 )
 SKETCH_SCHEMA = NUMERIC_SCHEMA.replace("value double", "value binary")
 
@@ -73,15 +76,21 @@ def sketch_points(df: DataFrame, *, ts: str, value: str, metric_name: str, model
     )
 
 
-def write_points(points: DataFrame, path: str, *, version: int) -> None:
-    """Write one run's rows as one version. Rebalancing splits a large metric-year over several files."""
+def write_points(points: DataFrame, path: str, *, version: int, run_id: str | None = None) -> None:
+    """Write one run's rows as one version, in place of what the same run wrote before.
+
+    Without ``run_id`` the run gets a new one. Rebalancing splits a large metric-year over several files.
+    """
+    run = run_id or uuid.uuid4().hex
+    if not re.fullmatch(r"[\w.-]+", run):
+        raise ValueError(f"run_id {run!r} is not a folder name")
     (
-        points.withColumn("year", F.year("timestamp"))
+        points.withColumns({"metric_version": F.lit(int(version)), "year": F.year("timestamp")})
         .hint("rebalance", "metric_name", "year")
         .sortWithinPartitions("metric_name", "year", "timestamp")
         .write.mode("overwrite")
-        .partitionBy("metric_name", "year")
-        .parquet(f"{path.rstrip('/')}/metric_version={int(version)}")
+        .partitionBy("metric_version", "metric_name", "year")
+        .parquet(f"{path.rstrip('/')}/run_id={run}")
     )
 
 
@@ -90,7 +99,7 @@ def read_store(spark: SparkSession, path: str, *, sketch: bool = False) -> DataF
 
 
 def next_version(spark: SparkSession, path: str) -> int:
-    """One more than the newest version; the version is a folder, so this reads no data pages."""
+    """One more than the newest version of all runs; the version is a folder, so this reads no data pages."""
     try:
         newest = read_store(spark, path).agg(F.max("metric_version")).first()[0]
     except AnalysisException:
@@ -116,8 +125,11 @@ def latest_version(store: DataFrame) -> DataFrame:
     The newest versions come from a partial aggregation and are joined back;
     a window would shuffle every row and hold one key's rows in one task.
     """
-    newest = store.groupBy(*POINT_KEY).agg(F.max("metric_version").alias("max_version_for_timestamp"))
-    return store.join(newest, list(POINT_KEY)).filter(F.col("metric_version") == F.col("max_version_for_timestamp"))
+    run = F.col("run_id") if "run_id" in store.columns else F.lit("")
+    newest = store.groupBy(*POINT_KEY).agg(F.max(F.struct("metric_version", run.alias("run"))).alias("_newest"))
+    kept = store.join(newest, list(POINT_KEY)).filter(
+        (F.col("metric_version") == F.col("_newest.metric_version")) & (run == F.col("_newest.run")))
+    return kept.withColumn("max_version_for_timestamp", F.col("_newest.metric_version")).drop("_newest")
 
 
 def dimension(name: str) -> Column:
@@ -135,29 +147,32 @@ def recent_rows(df: DataFrame, *, ts: str, as_of, lookback_seconds: int, width:
     return df.filter((F.col(ts) >= first) & (F.col(ts) <= now))
 
 
-def append_recomputed(points: DataFrame, path: str) -> int:
+def append_recomputed(points: DataFrame, path: str, *, run_id: str | None = None) -> int:
     """Write recomputed points as the next version; returns that version."""
     version = next_version(points.sparkSession, path)
-    write_points(points, path, version=version)
+    write_points(points, path, version=version, run_id=run_id)
     return version
 
 
-def with_unchanged_dimensions(points: DataFrame, path: str, *, version: int, sketch: bool = False) -> DataFrame:
+def with_unchanged_dimensions(points: DataFrame, path: str, *, run_id: str, names: Sequence[str],
+                              sketch: bool = False) -> DataFrame:
     """Add the stored rows of the same time points whose dimensions ``points`` does not hold.
 
     A version stands for the whole time point, so a run that only changed some
-    dimension values has to carry the others forward.
+    dimension values has to carry the others forward. Rows that the same run wrote in an
+    earlier attempt do not count. Only the named metrics between the first and the last
+    time point are read.
     """
     try:
         stored = read_store(points.sparkSession, path, sketch=sketch)
     except AnalysisException:
         return points
-    years = points.agg(F.min(F.year("timestamp")), F.max(F.year("timestamp"))).first()
-    if years[0] is None:
+    first, last = points.agg(F.min("timestamp"), F.max("timestamp")).first()
+    if first is None:
         return points
     same = F.to_json("dimensions").alias("_dims")
     touched = points.select(*POINT_KEY).distinct()
-    before = stored.filter((F.col("metric_version") < version) & F.col("year").between(*years))
+    before = select_points(stored, names, start=first, end=last).filter(F.col("run_id") != run_id)
     older = latest_version(before.join(touched, list(POINT_KEY), "left_semi")).select(*points.columns, same)
     changed = points.select(*POINT_KEY, same).distinct()
     kept = older.join(changed, [*POINT_KEY, "_dims"], "left_anti").drop("_dims")

@@ -6,15 +6,16 @@ whole result are derived from the stored counts in batch.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from metricloom.functions import sketches
 from metricloom.functions.timebuckets import window_args
-from metricloom.plans.store import ReportedMetric, dimension_map, to_long, with_unchanged_dimensions, write_points
+from metricloom.plans.store import ReportedMetric, dimension_map, next_version, to_long, with_unchanged_dimensions, write_points
 
 LATENESS = "2 hours"
 
@@ -45,11 +46,12 @@ def confusion_aggregates(*, label: str, score: str, threshold: float) -> dict[st
 
 def start_numeric_stream(aggregated: DataFrame, path: str, checkpoint: str, *, metrics: Sequence[str],
                          model_id: str, dimensions: Sequence[str] = (), trigger: Mapping | None = None) -> StreamingQuery:
-    """Append changed buckets as a new version per micro-batch; a replayed batch overwrites its own version."""
+    """Append changed buckets as a new version per micro-batch; a replayed batch overwrites its own run."""
     reports = [ReportedMetric(m, m, dimensions=tuple(dimensions)) for m in metrics]
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        _write_version(to_long(batch, reports, model_id=model_id), path, batch_id, bool(dimensions))
+        run_id = f"{query_id(batch.sparkSession, checkpoint)}-{batch_id}"
+        _write_version(to_long(batch, reports, model_id=model_id), path, run_id, list(metrics), bool(dimensions))
 
     return _start(aggregated, sink, checkpoint, trigger)
 
@@ -66,20 +68,29 @@ def start_sketch_stream(stream: DataFrame, path: str, checkpoint: str, *, ts: st
             F.col("bucket").alias("timestamp"), "value",
             dimension_map({d: d for d in dimensions}).alias("dimensions"),
         )
-        _write_version(points, path, batch_id, bool(dimensions), sketch=True)
+        run_id = f"{query_id(batch.sparkSession, checkpoint)}-{batch_id}"
+        _write_version(points, path, run_id, [metric_name], bool(dimensions), sketch=True)
 
     return _start(built, sink, checkpoint, trigger)
 
 
-def _write_version(points: DataFrame, path: str, version: int, has_dimensions: bool, *, sketch: bool = False) -> None:
-    """One micro-batch as one version; with dimensions the unchanged ones are carried forward."""
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the query of this checkpoint; another checkpoint has another id."""
+    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
+
+
+def _write_version(points: DataFrame, path: str, run_id: str, names: Sequence[str], has_dimensions: bool, *,
+                   sketch: bool = False) -> None:
+    """One micro-batch as the store's next version; with dimensions the unchanged ones are carried forward."""
+    version = next_version(points.sparkSession, path)
     if not has_dimensions:
-        write_points(points, path, version=version)
+        write_points(points, path, version=version, run_id=run_id)
         return
     # Used several times below; without this every use would run the stateful plan again.
     points = points.persist()
     try:
-        write_points(with_unchanged_dimensions(points, path, version=version, sketch=sketch), path, version=version)
+        whole = with_unchanged_dimensions(points, path, run_id=run_id, names=names, sketch=sketch)
+        write_points(whole, path, version=version, run_id=run_id)
     finally:
         points.unpersist()
 

@@ -32,7 +32,7 @@ def test_write_is_repeatable_and_versions_grow(spark, tmp_path):
     points = S.to_long(frame, reports, model_id="m")
     assert S.next_version(spark, path) == 0
     for _ in range(2):
-        S.write_points(points, path, version=0)
+        S.write_points(points, path, version=0, run_id="first")
     assert S.read_store(spark, path).count() == 2
     assert S.append_recomputed(points, path) == 1
     rows = {r["metric_name"]: r for r in S.latest_version(S.read_store(spark, path)).collect()}
@@ -133,6 +133,43 @@ def test_stream_corrects_late_rows_and_keeps_other_dimensions(spark, tmp_path):
     assert run()[bucket, "a"] == 3.0
 
 
+def test_writers_with_equal_versions_keep_each_others_points(spark, tmp_path):
+    path = str(tmp_path / "store")
+    frame = spark.createDataFrame([(day(1), 1.0, 2.0)], "bucket timestamp, u double, v double")
+    u, v = (S.to_long(frame, [S.ReportedMetric(n, n)], model_id="m") for n in "uv")
+    S.write_points(u, path, version=0)
+    S.write_points(v, path, version=0)
+    S.write_points(u.withColumn("value", F.lit(5.0)), path, version=0, run_id="zz")
+    kept = S.latest_version(S.read_store(spark, path)).collect()
+    assert sorted((r["metric_name"], r["value"]) for r in kept) == [("u", 5.0), ("v", 2.0)]
+    with pytest.raises(ValueError, match="folder name"):
+        S.write_points(u, path, version=0, run_id="a/b")
+
+
+def test_two_streams_a_batch_run_and_a_restart_share_a_store(spark, tmp_path):
+    source, path = str(tmp_path / "in"), str(tmp_path / "store")
+
+    def run(metric, checkpoint):
+        stream = spark.readStream.schema("ts timestamp, seg string, v double").parquet(source)
+        aggregated = stream_metrics.windowed(stream, ts="ts", aggregates={metric: F.sum("v")})
+        stream_metrics.start_numeric_stream(aggregated, path, str(tmp_path / checkpoint), metrics=[metric],
+                                            model_id="m").awaitTermination()
+
+    def latest():
+        return {(r["metric_name"], r["timestamp"]): r["value"] for r in S.latest_version(S.read_store(spark, path)).collect()}
+
+    write_batch(spark, source, [(day(1, 12), "a", 1.0)])
+    run("x", "c1")
+    run("y", "c2")
+    assert latest() == {("x", day(1, 12)): 1.0, ("y", day(1, 12)): 1.0}
+    old = spark.createDataFrame([(day(1, 3), 9.0)], "bucket timestamp, x double")
+    S.append_recomputed(S.to_long(old, [S.ReportedMetric("x", "x")], model_id="m"), path)
+    write_batch(spark, source, [(day(1, 12), "a", 2.0)])
+    run("x", "c1")
+    run("y", "restarted")
+    assert latest() == {("x", day(1, 12)): 3.0, ("y", day(1, 12)): 3.0, ("x", day(1, 3)): 9.0}
+
+
 def test_sketch_points_merge_to_all_rows(spark):
     df = spark.range(3000).select((F.lit(day(1)) + F.expr("make_interval(0,0,0,0,0,0,id)")).alias("ts"),
                                   F.col("id").cast("double").alias("v"), (F.col("id") % 2).alias("s"))
