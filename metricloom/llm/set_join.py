@@ -262,11 +262,12 @@ def joined(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Da
     numbered = plain.filter("doc_id is not null")
     counts = repeated_counts(first_rows(numbered))
     enough = "repeated >= 1 + floor(ceil(3 * n / 4) / 20)"
-    some = counts.join(chosen, "doc_id").filter(enough).select("doc_id")
+    # Written first, so that its size is known: a short list is broadcast and the texts stay where they are.
+    some = stage(counts.join(chosen, "doc_id").filter(enough).select("doc_id"), "ids-some")
     sets = stage(whole_sets(numbered.join(some, "doc_id")), "sets-some").filter("n > 0")
     whole = repeated_counts(whole_rows(sets))
     left = whole.join(sets.groupBy("doc_id").agg(F.min("n").alias("n")), "doc_id").filter("repeated >= ceil(3 * n / 4)")
-    sets = stage(sets.join(left.select("doc_id"), "doc_id"), "sets-left")
+    sets = stage(sets.join(stage(left.select("doc_id"), "ids-left"), "doc_id"), "sets-left")
     pivots = stage(pivot_links(sets), "pivot-links")
     links = pivots.filter(LINKED).select("a", "b")
     labels = components(links)
