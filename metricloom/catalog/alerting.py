@@ -52,7 +52,7 @@ def _(spark, d):
     return alerts.evaluate_rules(rule_store(spark, d), rules(spark), as_of=AS_OF)
 
 
-@register("alert_rules_over_time", "E1", "rule_id:s metric_name:s period:t metric_value:6 fires:b", over(
+@register("alert_rules_over_time", "E1", "rule_id:s metric_name:s period:t threshold:6 bound:s metric_value:6 fires:b", over(
     RULE_SOURCES, f"""SELECT *, coalesce({CROSSED}, false) AS fires FROM (
   SELECT rule_id, metric_name, {DAY} AS period, threshold, bound,
     CASE aggregate WHEN 'sum' THEN sum(value) ELSE avg(value) END AS metric_value
@@ -154,9 +154,17 @@ FROM (SELECT rule_id, {DAY} AS period, avg(value) AS v, any_value(threshold) AS
   USING (metric_name) WHERE rule_id = 'accuracy-low' GROUP BY ALL) WHERE v < t"""
 
 
-@register("audit_evidence", "E8 S10 J3", " ".join(f"{c}:s" for c in alerts.EVIDENCE_COLUMNS if c != "metric_value"), over(
+# The value's text is compared as a number: engines print the last digits of a double differently.
+EVIDENCE_OUT = " ".join(f"{c}:6" if c == "metric_value" else f"{c}:s" for c in alerts.EVIDENCE_COLUMNS)
+
+
+def with_numeric_value(evidence):
+    return evidence.withColumn("metric_value", F.expr("try_cast(metric_value AS double)"))
+
+
+@register("audit_evidence", "E8 S10 J3", EVIDENCE_OUT, over(
     RULE_SOURCES, f"""
-SELECT strftime(day, '%Y-%m-%d') AS date, 'valid_detection_rate' AS metric_name, '0.85' AS threshold, '<' AS threshold_operator,
+SELECT strftime(day, '%Y-%m-%d') AS date, 'valid_detection_rate' AS metric_name, v AS metric_value, '0.85' AS threshold, '<' AS threshold_operator,
   CASE WHEN v IS NULL THEN '' WHEN v < 0.85 THEN 'false' ELSE 'true' END AS control_pass,
   CASE WHEN v IS NULL THEN '' WHEN v < 0.85 THEN 'true' ELSE 'false' END AS alert_expected,
   CASE WHEN f.rule_id IS NULL THEN 'false' ELSE 'true' END AS alert_fired, coalesce(f.alert_id, '') AS alert_id,
@@ -180,16 +188,18 @@ def _(spark, d):
         for hours, which in ((9, "second"), (6, "first"))
     ])
     fired = fired.select("rule_id", F.explode(both).alias("_a")).select("rule_id", "_a.*")
-    return alerts.audit_evidence(
+    return with_numeric_value(alerts.audit_evidence(
         rows, ruleset, metric_name="valid_detection_rate", model_id=P.MODEL, start="2023-12-30", end="2024-02-02",
         generated_at="2024-02-01T00:00:00Z", fired=fired,
-    )
+    ))
 
 
-@register("audit_evidence_without_rules", "E8", "date:s metric_name:s metric_value:s threshold:s alert_fired:s", over(
-    ["volume"], """SELECT strftime(day, '%Y-%m-%d') AS date, 'auc_roc' AS metric_name, '' AS metric_value, '' AS threshold,
-  '' AS alert_fired FROM (SELECT unnest(range((SELECT min(timestamp)::DATE::TIMESTAMP FROM latest), TIMESTAMP '2024-02-03',
-  INTERVAL '1 day')) AS day)"""))
+@register("audit_evidence_without_rules", "E8", EVIDENCE_OUT, over(
+    ["volume"], f"""SELECT strftime(day, '%Y-%m-%d') AS date, 'auc_roc' AS metric_name, NULL AS metric_value, '' AS threshold,
+  '' AS threshold_operator, '' AS control_pass, '' AS alert_expected, '' AS alert_fired, '' AS alert_id, '' AS alert_timestamp,
+  '{P.MODEL}' AS model_id, '2024-02-01T00:00:00Z' AS evidence_generated_at
+FROM (SELECT unnest(range((SELECT min(timestamp)::DATE::TIMESTAMP FROM latest), TIMESTAMP '2024-02-03', INTERVAL '1 day')) AS day)"""))
 def _(spark, d):
-    return alerts.audit_evidence(rule_store(spark, d), rules(spark), metric_name="auc_roc", model_id=P.MODEL,
-                                 start="2024-01-01", end="2024-02-02", generated_at="2024-02-01T00:00:00Z")
+    return with_numeric_value(alerts.audit_evidence(
+        rule_store(spark, d), rules(spark), metric_name="auc_roc", model_id=P.MODEL, start="2024-01-01", end="2024-02-02",
+        generated_at="2024-02-01T00:00:00Z"))

@@ -221,8 +221,9 @@ def _(spark, d):
 
 
 @register("calibration_deciles_by_segment", "B22 W6 U5",
-          "segment:s decile:i avg_predicted_prob:6 observed_rate:6 sample_size:i", """
-SELECT segment, decile, avg(score) AS avg_predicted_prob, avg(label) AS observed_rate, count(*) AS sample_size
+          "segment:s decile:i avg_predicted_prob:6 observed_rate:6 sample_size:i decile_log_loss:6", """
+SELECT segment, decile, avg(score) AS avg_predicted_prob, avg(label) AS observed_rate, count(*) AS sample_size,
+  avg(-ln(greatest(1e-15, CASE label WHEN 1 THEN score ELSE 1 - score END))) AS decile_log_loss
 FROM (SELECT segment, ntile(10) OVER (PARTITION BY segment ORDER BY score, label) AS decile, score, label
       FROM inf_binary) GROUP BY ALL""")
 def _(spark, d):

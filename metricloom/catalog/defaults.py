@@ -188,13 +188,25 @@ for _name, (_how, _value) in LIFTS.items():
                       keys=[F.date_trunc("year", "opened").alias("year")])
 
 
-@register("points_to_double_odds", "O6", "log_odds_slope:6 points_to_double_odds:5", """
-SELECT slope AS log_odds_slope, ln(2) / slope AS points_to_double_odds FROM (SELECT regr_slope(ln(p / n), s) AS slope FROM (
-  SELECT least(9, floor((score - lo) / (hi - lo) * 10)) AS bin, avg(score) AS s, count(*) FILTER (label = 1) AS p,
-    count(*) FILTER (label = 0) AS n FROM inf_binary, (SELECT min(score) AS lo, max(score) AS hi FROM inf_binary)
-  GROUP BY 1) WHERE p > 0 AND n > 0)""")
-def _(spark, d):
-    return O.points_to_double_odds(views.binary(spark, d), score="score", label="label")
+NEWTON_STEPS = 10
+# Newton steps of the logistic fit, unrolled: each one sums over all rows.
+LOGISTIC_SQL = """
+WITH start AS MATERIALIZED (SELECT avg(score) AS mean, stddev_pop(score) AS sd, ln(sum(label) / sum(1 - label)) AS b0 FROM inf_binary),
+z AS MATERIALIZED (SELECT (score - mean) / sd AS z, label AS y, sd FROM inf_binary, start),
+s0 AS MATERIALIZED (SELECT b0, 0.0::DOUBLE AS b1, NULL::DOUBLE AS move FROM start)""" + "".join(f""",
+s{i} AS MATERIALIZED (SELECT b0 + d0 AS b0, b1 + d1 AS b1, greatest(abs(d0), abs(d1)) AS move FROM (
+  SELECT b0, b1, (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS d0, (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS d1 FROM (
+    SELECT any_value(b0) AS b0, any_value(b1) AS b1, sum(y - p) AS g0, sum((y - p) * z) AS g1, sum(p * (1 - p)) AS h00,
+      sum(p * (1 - p) * z) AS h01, sum(p * (1 - p) * z * z) AS h11
+    FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * z))) AS p FROM z, s{i - 1}))))""" for i in range(1, NEWTON_STEPS + 1)) + f"""
+SELECT slope AS log_odds_slope, ln(2) / slope AS points_to_double_odds, converged FROM (
+  SELECT coalesce(move < 1e-8, false) AS converged, CASE WHEN move < 1e-8 THEN b1 / (SELECT sd FROM start) END AS slope
+  FROM s{NEWTON_STEPS})"""
+
+
+@register("points_to_double_odds", "O6", "log_odds_slope:6 points_to_double_odds:5 converged:b", LOGISTIC_SQL)
+def _(spark, d):
+    return O.points_to_double_odds(views.binary(spark, d), score="score", label="label", steps=NEWTON_STEPS)
 
 
 @register("score_utilisation", "O7", "day:d score_utilisation_pct:6",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from metricloom.functions.numeric import ratio_or_null
 from metricloom.functions.timebuckets import bucket_start
+from metricloom.operators.ordered import group_key
 
 
 def average_daily_rate(df: DataFrame, *, ts: str, group_by: Sequence[str] = ()) -> DataFrame:
@@ -49,21 +51,43 @@ def lift(df: DataFrame, *, value: Column, treated: Column, name: str, how: str =
     return out.select(*kept, (ratio_or_null(F.col("_t") - F.col("_c"), "_c") * 100).alias(name))
 
 
-def points_to_double_odds(df: DataFrame, *, score: str, label: str, bins: int = 10,
+def points_to_double_odds(df: DataFrame, *, score: str, label: str, steps: int = 10,
                           group_by: Sequence[str] = ()) -> DataFrame:
-    """ln 2 over the slope of log odds on score, fitted to equal-width score bins that hold both classes."""
-    s = F.col(score).cast("double")
-    rows = df.dropna(subset=[score, label])
-    bounds = rows.agg(F.min(s).alias("_low"), F.max(s).alias("_high"))
-    index = F.least(F.lit(bins - 1), F.floor((s - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)) * bins))
-    binned = rows.crossJoin(F.broadcast(bounds)).groupBy(*group_by, index.alias("_bin")).agg(
-        F.avg(s).alias("_score"), F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg")
-    )
-    usable = binned.filter((F.col("_pos") > 0) & (F.col("_neg") > 0))
-    slope = F.regr_slope(F.ln(F.col("_pos") / F.col("_neg")), F.col("_score"))
-    return usable.groupBy(*group_by).agg(slope.alias("log_odds_slope")).withColumn(
-        "points_to_double_odds", F.ln(F.lit(2.0)) / F.nullif(F.col("log_odds_slope"), F.lit(0.0))
-    )
+    """ln 2 over the score's coefficient in a logistic fit on all rows, with a flag that tells whether the fit settled.
+
+    Each of the ``steps`` Newton steps is one aggregation over standardised scores. Classes
+    that a score separates, a single class or a constant score have no finite fit: the slope
+    is NULL and ``converged`` false. Rows without a score or a 0/1 label take no part.
+    """
+    s, y = F.col(score).cast("double"), F.col(label).cast("double")
+    rows = df.filter(s.isNotNull() & ~F.isnan(s) & y.isin(0.0, 1.0)).select(
+        *group_by, group_key(group_by).alias("_key"), s.alias("_s"), y.alias("_y"))
+    fit = rows.groupBy("_key").agg(
+        F.avg("_s").alias("_mean"), F.nullif(F.stddev_pop("_s"), F.lit(0.0)).alias("_sd"),
+        F.ln(F.nullif(F.sum("_y"), F.lit(0.0)) / F.nullif(F.sum(1 - F.col("_y")), F.lit(0.0))).alias("_b0"),
+    ).withColumns({"_b1": F.lit(0.0), "_move": F.lit(None).cast("double")})
+    z = (F.col("_s") - F.col("_mean")) / F.col("_sd")
+    p = 1 / (1 + F.exp(-(F.col("_b0") + F.col("_b1") * z)))
+    miss, weight = F.col("_y") - p, p * (1 - p)
+    kept = ["_mean", "_sd", "_b0", "_b1"]
+    for _ in range(steps):
+        # One row per group: Spark broadcasts it below its size limit and splits a hot group otherwise.
+        sums = rows.select("_key", "_s", "_y").join(fit.drop("_move"), "_key").groupBy("_key").agg(
+            *[F.any_value(c).alias(c) for c in kept],
+            F.sum(miss).alias("_g0"), F.sum(miss * z).alias("_g1"),
+            F.sum(weight).alias("_h00"), F.sum(weight * z).alias("_h01"), F.sum(weight * z * z).alias("_h11"),
+        )
+        det = F.nullif(F.col("_h00") * F.col("_h11") - F.col("_h01") * F.col("_h01"), F.lit(0.0))
+        d0 = (F.col("_h11") * F.col("_g0") - F.col("_h01") * F.col("_g1")) / det
+        d1 = (F.col("_h00") * F.col("_g1") - F.col("_h01") * F.col("_g0")) / det
+        fit = sums.select("_key", "_mean", "_sd", (F.col("_b0") + d0).alias("_b0"), (F.col("_b1") + d1).alias("_b1"),
+                          F.greatest(F.abs(d0), F.abs(d1)).alias("_move"))
+    settled = F.coalesce(F.col("_move") < 1e-8, F.lit(False))
+    slope = F.when(settled, F.col("_b1") / F.col("_sd"))
+    keys = [F.col(f"_key.{c}").alias(c) for c in group_by]
+    return fit.select(*keys, slope.alias("log_odds_slope"),
+                      (F.lit(math.log(2)) / F.nullif(slope, F.lit(0.0))).alias("points_to_double_odds"),
+                      settled.alias("converged"))
 
 
 def volume(df: DataFrame, *, ts: str, bucket: str = "1 day", name: str = "volume",

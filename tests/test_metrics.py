@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from metricloom.operators import binary, curves, drift, multilabel, probability, quality, regression
+from metricloom.operators import binary, curves, drift, multilabel, operational, probability, quality, regression
 from tests.conftest import day
 
 SCORED = dict(ts="ts", label="label", score="score")
@@ -197,3 +197,23 @@ def test_completeness_and_null_rates(spark):
     assert row["completeness_pct"] == pytest.approx(100 / 3) and row["incomplete_row_count"] == 2
     rates = {r["series"]: r["null_rate_pct"] for r in quality.null_rates(df, ts="ts", columns=["a", "b"]).collect()}
     assert rates == pytest.approx({"a": 100 / 3, "b": 100 / 3})
+
+
+def test_points_to_double_odds_fits_one_class_score_ranges(spark):
+    # Low scores are all 0 and high ones all 1; only the middle is mixed.
+    data = [(i / 100, int(i >= 70 or (30 <= i and i % 3 == 0))) for i in range(100)]
+    b0 = b1 = 0.0
+    for _ in range(50):
+        p = [1 / (1 + math.exp(-(b0 + b1 * s))) for s, _ in data]
+        g0, g1 = sum(y - q for (_, y), q in zip(data, p)), sum((y - q) * s for (s, y), q in zip(data, p))
+        h00, h01, h11 = (sum(q * (1 - q) * s ** k for (s, _), q in zip(data, p)) for k in (0, 1, 2))
+        det = h00 * h11 - h01 * h01
+        b0, b1 = b0 + (h11 * g0 - h01 * g1) / det, b1 + (h00 * g1 - h01 * g0) / det
+    rows = [("mixed", s, y) for s, y in data] + [("split", s, int(s > 0.5)) for s, _ in data]
+    rows += [("one class", 0.3, 1), ("one class", 0.4, 1), ("constant", 0.5, 0), ("constant", 0.5, 1), ("mixed", None, 1)]
+    df = spark.createDataFrame(rows, "g string, score double, label int")
+    got = {r["g"]: r for r in operational.points_to_double_odds(df, score="score", label="label", group_by=["g"]).collect()}
+    assert got["mixed"]["converged"] and got["mixed"]["log_odds_slope"] == pytest.approx(b1)
+    assert got["mixed"]["points_to_double_odds"] == pytest.approx(math.log(2) / b1)
+    for g in ("split", "one class", "constant"):
+        assert not got[g]["converged"] and got[g]["log_odds_slope"] is None
