@@ -1,23 +1,27 @@
-"""Repeated line runs by prefix doubling over line sequences; later copies are deleted.
+"""Repeated line runs by doubled class names over line sequences; later copies are deleted.
 
-Suffixes of the line sequences are classed by prefix doubling: at level j two places are
-in one class if the 2**j lines from there on are equal. A class's name comes from the
-names of its two halves, so doubling happens inside each document's row. Classes of a
-level are the longest-common-prefix intervals of depth 2**j of the suffix array; which
-of them are repeated is the part that spans the cluster.
+A line goes if it lies in a run of ``min_lines`` lines or more, with a word in it, that a
+document with a smaller id has too, or the same document earlier on. By default one line
+is a run.
 
-A place is a later copy at a level if its class has a place in a document with a smaller
-id, or earlier in the same document. Deleting the lines of all later copies at levels of
-``min_lines`` or more deletes exactly the later copies of all maximal repeated runs of
-``min_lines`` lines or more; the deepest level tells how long a document's runs are.
+It is enough to look at two runs for each line: the shortest one of ``min_lines`` lines or
+more with a word that begins there, and the shortest one that ends there. Any longer
+copied run consists of such runs, which are copied with it. They are longer than
+``min_lines`` only next to lines without words. Each names up to ``min_lines`` lines to
+delete, those next to the line that it was made for, so no run is written out.
 
-Only DataFrame functions run here. Classes are first summed inside a document, then over
+Runs are compared by names. Prefix doubling names all places of 2**j lines, a name being
+made of those of the two halves, inside each document's row; a run's name is made of
+those of the two places of 2**j lines that cover it. There are as many levels as the
+longest of the runs above needs, not the longest document.
+
+Only DataFrame functions run here. Runs are first summed inside a document, then over
 the cluster with a partial aggregation; the join back is a plain shuffle join.
 
-Defined results: lines are what ``\\n`` separates, compared as they are. A run needs a line
-with a word in it. Null texts stay null and have no lines. Rows with a null id lose only
-copies within themselves. Rows of the same id and different text do not affect each
-other; repeated rows have the same result each.
+Defined results: lines are what ``\\n`` separates, compared as they are. Null texts stay
+null and have no lines. Rows with a null id lose only copies within themselves. Rows of
+the same id and different text do not affect each other; repeated rows have the same
+result each.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from metricloom.llm.storage import stage
 
-MIN_LINES = 2
+MIN_LINES = 1
 
 
 def _half(before: str, half: int):
@@ -52,45 +56,78 @@ def line_classes(plain: DataFrame, levels: int) -> DataFrame:
     return table
 
 
+def shortest_runs(lines: DataFrame, min_lines: int) -> DataFrame:
+    """Adds ``runs``, (begin, end, whether made for its end) of each run to look at; ``end`` is its last line."""
+    place = F.sequence(F.lit(0), F.size("lines") - 1)
+    wordy = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(r"[^ \t-\r]"), i)), lambda i: i.isNotNull())
+    table = lines.withColumn("words", wordy).withColumn("n_words", F.size("words"))
+    numbers = F.when(F.col("n_words") > 0, F.sequence(F.lit(0), F.col("n_words") - 1)).otherwise(F.array().cast("array<int>"))
+
+    def word(k: Column, none: Column) -> Column:
+        return F.coalesce(F.get("words", k), none)
+
+    # The next line with a word from each line on, and the last one up to it; beyond them are nulls and -1.
+    table = table.withColumn("next", F.flatten(F.transform(
+        numbers, lambda k: F.array_repeat(F.get("words", k), F.get("words", k) - word(k - 1, F.lit(-1))))))
+    table = table.withColumn("last", F.concat(
+        F.array_repeat(F.lit(-1), word(F.lit(0), F.size("lines"))),
+        F.flatten(F.transform(numbers, lambda k: F.array_repeat(
+            F.get("words", k), word(k + 1, F.size("lines")) - F.get("words", k))))))
+
+    def run(begin: Column, end: Column, by_end: bool) -> Column:
+        return F.struct(begin.alias("begin"), end.alias("end"), F.lit(by_end).alias("by_end"))
+
+    forward = F.transform(place, lambda i: run(i, F.when(F.get("next", i).isNotNull(), F.greatest(F.get("next", i), i + (min_lines - 1))), False))
+    backward = F.transform(place, lambda i: run(F.when(F.get("last", i) >= 0, F.least(F.get("last", i), i - (min_lines - 1))), i, True))
+    # Runs of min_lines lines are the same both ways.
+    longer = F.filter(backward, lambda r: (r["begin"] >= 0) & (r["end"] - r["begin"] >= min_lines))
+    return table.withColumn("runs", F.concat(F.filter(forward, lambda r: r["end"] < F.size("lines")), longer)).drop(
+        "words", "n_words", "next", "last")
+
+
 def later_copies(docs: DataFrame, *, min_lines: int = MIN_LINES) -> DataFrame:
-    """``doc_id, t``, ``gone`` (the numbers of the lines to delete) and ``depth`` of documents that lose some.
+    """``doc_id, t`` and ``gone`` (the numbers of the lines to delete) of documents that lose some.
 
-    The longest copied run has from ``2**depth`` to ``2**(depth+1) - 1`` lines.
     ``docs`` has the columns ``doc_id, t, text``; ``t`` tells apart rows of one id.
     """
-    if min_lines < 1 or min_lines & (min_lines - 1):
-        raise ValueError("min_lines must be a power of two")
+    if min_lines < 1:
+        raise ValueError("min_lines must be 1 or more")
     lines = docs.filter("text is not null").select("doc_id", "t", F.split("text", "\n").alias("lines"))
-    longest = lines.agg(F.max(F.size("lines"))).first()[0] or 0
-    first, levels = min_lines.bit_length() - 1, max(longest.bit_length(), 1)
-    hashed = lines.select("doc_id", "t", "lines")
-    names = line_classes(hashed, levels)
-    wordy = F.transform("lines", lambda x: x.rlike(r"[^ \t-\r]"))
-    kept = [j for j in range(first, levels)]
-    if not kept:
-        return docs.select("doc_id", "t", F.array().cast("array<int>").alias("gone"), F.lit(0).alias("depth")).limit(0)
-    # (level, class, places of the document): one row for each class in a document.
-    levels_of = F.array(*[F.struct(F.lit(j).alias("level"), F.col(f"level{j}").alias("names")) for j in kept])
-    each = names.withColumn("wordy", wordy).select("doc_id", "t", "wordy", F.explode(levels_of).alias("x")).select(
-        "doc_id", "t", "x.level", F.posexplode("x.names").alias("i", "c"), "wordy")
-    each = each.filter(F.exists(F.slice("wordy", F.col("i") + 1, F.pow(F.lit(2), F.col("level")).cast("int")),
-                                lambda w: w))
-    places = each.groupBy("doc_id", "t", "level", F.col("c.a").alias("a"), F.col("c.b").alias("b")).agg(
+    runs = shortest_runs(lines, min_lines)
+    longest = runs.agg(F.max(F.array_max(F.transform("runs", lambda r: r["end"] - r["begin"] + 1)))).first()[0]
+    if longest is None:
+        return docs.select("doc_id", "t", F.array().cast("array<int>").alias("gone")).limit(0)
+    levels = longest.bit_length()
+
+    def named(run: Column) -> Column:
+        begin, end = run["begin"], run["end"]
+        name = None
+        for j in range(levels):
+            x, y = F.get(f"level{j}", begin), F.get(f"level{j}", end - ((1 << j) - 1))
+            pair = x if not j else F.struct(F.xxhash64(x["a"], y["a"], x["b"]).alias("a"), F.hash(x["b"], y["b"], y["a"]).alias("b"))
+            name = (F if name is None else name).when(end - begin + 1 < 2 << j, pair)
+        length = F.when(run["by_end"], begin - end - 1).otherwise(end - begin + 1)
+        return F.struct(length.alias("length"), name.alias("c"), begin.alias("i"))
+
+    # Named inside an array function, which is not compiled: the code of many levels would be very long.
+    names = line_classes(runs, levels).select("doc_id", "t", F.explode(F.transform("runs", named)).alias("run"))
+    each = names.select("doc_id", "t", "run.length", "run.c.a", "run.c.b", "run.i")
+    # (length, name, places of the document): one row for each run in a document. Runs made for their end have negative lengths.
+    places = each.groupBy("doc_id", "t", "length", "a", "b").agg(
         F.sort_array(F.collect_set("i")).alias("places"))
     table = stage(places, "line-classes")
-    ends = table.groupBy("level", "a", "b").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    ends = table.groupBy("length", "a", "b").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     ends = stage(ends, "line-repeats")
     alone = table.filter(F.size("places") > 1)
-    across = table.join(ends, ["level", "a", "b"]).filter("doc_id > first").select("doc_id", "t", "level", "places")
-    # The first place of a class in its own document is an original unless an earlier document has it.
-    within = alone.select("doc_id", "t", "level", F.slice("places", F.lit(2), F.size("places")).alias("places"))
-    spans = across.union(within).select("doc_id", "t", "level", F.explode("places").alias("i"))
-    # A copy of many lines holds copies of min_lines lines all along, so the lowest level has every line to delete.
-    found = spans.groupBy("doc_id", "t").agg(
-        F.collect_set(F.when(F.col("level") == first, F.col("i"))).alias("starts"), F.max("level").alias("depth"))
+    across = table.join(ends, ["length", "a", "b"]).filter("doc_id > first").select("doc_id", "t", "length", "places")
+    # The first place of a run in its own document is an original unless an earlier document has it.
+    within = alone.select("doc_id", "t", "length", F.slice("places", F.lit(2), F.size("places")).alias("places"))
+    spans = across.union(within).select("doc_id", "t", "length", F.explode("places").alias("i"))
+    start = F.when(F.col("length") > 0, F.col("i")).otherwise(F.col("i") - F.col("length") - min_lines)
+    found = spans.groupBy("doc_id", "t").agg(F.collect_set(start).alias("starts"))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform(
         "starts", lambda i: F.sequence(i, i + (min_lines - 1))))))
-    return found.select("doc_id", "t", covered.alias("gone"), "depth")
+    return found.select("doc_id", "t", covered.alias("gone"))
 
 
 def with_lines_removed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
@@ -135,21 +172,31 @@ def brute_force(rows: list[tuple[int | None, str | None]], min_lines: int = MIN_
     import hashlib
 
     docs = [(d, None if t is None else t.split("\n")) for d, t in rows]
-    first: dict[tuple, int] = {}
-    for d, lines in docs:
-        for i in range(len(lines or []) - min_lines + 1):
-            if d is not None:
-                key = tuple(lines[i:i + min_lines])
-                first[key] = min(first.get(key, d), d)
+    gone: list[set[int]] = [set() for _ in docs]
+    places = [(n, i) for n, (_, lines) in enumerate(docs) for i in range(len(lines or []))]
+    length = 1
+    while places:
+        # Only what is copied can be part of a longer copy; a run's original stays in, since it may go on.
+        held: dict[tuple, list[tuple[int, int]]] = {}
+        for n, i in places:
+            if i + length <= len(docs[n][1]):
+                held.setdefault(tuple(docs[n][1][i:i + length]), []).append((n, i))
+        places = []
+        for key, found in held.items():
+            if len(found) < 2:
+                continue
+            places += found
+            if length < min_lines or not any(x.strip("\x20\t\n\x0b\x0c\r") for x in key):
+                continue
+            ids = [docs[n][0] for n, _ in found if docs[n][0] is not None]
+            own = {n: i for n, i in sorted(found, reverse=True)}
+            for n, i in found:
+                if own[n] < i or docs[n][0] is not None and min(ids) < docs[n][0]:
+                    gone[n].update(range(i, i + length))
+        length += 1
     out = []
-    for d, lines in docs:
-        gone, seen = set(), set()
+    for (d, lines), gone_here in zip(docs, gone, strict=True):
         lines = lines or []
-        for i in range(len(lines) - min_lines + 1):
-            key = tuple(lines[i:i + min_lines])
-            if any(x.strip("\x20\t\n\x0b\x0c\r") for x in key) and (key in seen or d is not None and first[key] < d):
-                gone.update(range(i, i + min_lines))
-            seen.add(key)
-        kept = "\n".join(x for i, x in enumerate(lines) if i not in gone)
-        out.append((d, len(lines), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+        kept = "\n".join(x for i, x in enumerate(lines) if i not in gone_here)
+        out.append((d, len(lines), len(gone_here), hashlib.sha256(kept.encode()).hexdigest()))
     return out

@@ -110,6 +110,26 @@ def test_line_runs(spark, edge, source):
     assert line_dedup.removed_lines(df.limit(0)).count() == 0
 
 
+def test_single_lines_are_runs(spark):
+    rows = [(1, "one line"), (2, "one line"), (3, "p\nshared\nq"), (4, "r\nshared\ns"), (5, "u\n\n \n\nv"), (6, "w\n\n \n\nv"),
+            (7, "u\n\n \n\nx"), (8, "y\n\n\n\nz"), (9, "shared\nk\nshared\n\t"), (None, "one line\none line"), (10, "a\nb\nc"), (11, "b\nc\na")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = line_dedup.removed_lines(df).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0, 6: 4, 7: 4, 8: 0, 9: 2, None: 1, 10: 0, 11: 3}
+    same(got, line_dedup.brute_force(rows))
+    assert {r.doc_id for r in line_dedup.remove_lines(df).collect()} == {1, 3, 4, 5, 6, 7, 8, 9, None, 10}
+    for least in (2, 3):
+        same(line_dedup.removed_lines(df, min_lines=least).collect(), line_dedup.brute_force(rows, least))
+
+
+def test_line_runs_of_few_different_lines(spark):
+    rnd = random.Random(3)
+    rows = [(i, "\n".join(rnd.choice(["", " ", "\t", "a", "b", "c", "d"]) for _ in range(rnd.randrange(1, 14)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (1, 2, 4, 5):
+        same(line_dedup.removed_lines(df, min_lines=least).collect(), line_dedup.brute_force(rows, least))
+
+
 def test_rules_match_sql_and_policies(spark, edge):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
