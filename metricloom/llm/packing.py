@@ -3,19 +3,23 @@
 All ids form one stream that is cut every ``seq_len`` ids, so only its last sequence
 has padding. The order of the stream is what the mixture controls:
 
-1. Texts are encoded once and written to a table. A hash of the document gives its
-   bucket; a bucket is a stretch of the stream of about ``bucket_tokens`` ids.
-2. Sums for each (bucket, source) give where a bucket's stretch begins and what each
-   source is owed there: target share of the stream so far minus what earlier buckets
-   held. These deficits are what one queue server would have carried into the bucket.
-3. Each bucket serves its source queues in windows of ``window_sequences`` sequences. In
-   a window every source gets its share of the ids plus its deficit; documents are cut
+1. Texts are encoded once and written to a table. Each source's documents form one queue
+   over the whole table, ordered by a hash of the document; running sums give the ids of
+   the queue that lie before each document.
+2. The whole stream follows the target shares until a source is used up; then the others
+   take its share in proportion. So there is a time at which each stretch of about
+   ``bucket_tokens`` ids ends, and what a source has given by then is its rate times that
+   time, as far as it goes. This is what one queue server would have served, so nothing
+   is owed from one stretch to the next beyond a fraction of an id.
+3. Documents are cut where a stretch of their source's queue ends and go to the task of
+   that stretch. It serves its queues in windows of ``window_sequences`` sequences. In a
+   window every source gets its share of the ids plus its deficit; documents are cut
    where the share ends. A source whose queue is empty keeps its deficit, and the others
    fill the window.
 
 Target shares are those of the corpus unless given, so no source runs out early. With
-given shares all documents are still packed; once a source is used up the others take
-its share.
+given shares all documents are still packed. Sources without a target come after the
+others, in proportion to their size. One row for each source is held by the driver.
 
 Defined results: null text is a document of the end id alone; null sources are one
 source. Repeated rows and null ids are packed row by row. An empty table gives no
@@ -41,10 +45,44 @@ SEQUENCE = 2048
 WINDOW_SEQUENCES = 32
 BUCKET_TOKENS = 2 << 20
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
-#: Buckets in a group of the two-level running sums.
+CUT = pa.schema([(c, pa.int64()) for c in ("stretch",)] + [("source", pa.string())] + [
+    (c, pa.int64()) for c in ("at", "doc_id", "start", "n", "n_tokens")] + [("ids", pa.binary())])
+#: Hash buckets in a group of the two-level running sums.
 COARSE = 1024
 
 
+class Stream:
+    """How far each source's queue has been served at the ends of ``stretches`` stretches of the stream."""
+
+    def __init__(self, held: Mapping[str, int], targets: Mapping[str, float] | None, stretches: int):
+        sources = sorted(held)
+        size = np.array([held[s] for s in sources], np.float64)
+        rate = size.copy() if targets is None else np.array([float(targets.get(s, 0.0)) for s in sources])
+        if not (rate >= 0).all() or not np.isfinite(rate).all():
+            raise ValueError("targets must be finite numbers of 0 or more")
+        aimed = rate > 0
+        rate[aimed] /= rate[aimed].sum()
+        # Time is in ids while no source is used up. Those without a target start when all others are.
+        start = np.where(aimed, 0.0, (size[aimed] / rate[aimed]).max(initial=0.0))
+        rate[~aimed] = size[~aimed] / max(size[~aimed].sum(), 1.0)
+        # A weight beside those of the aimed sources: next to nothing until they are used up.
+        self.weight = dict(zip(sources, np.where(aimed, rate, 1e-9 * rate).tolist(), strict=True))
+        self.of = {s: x for s, *x in zip(sources, size.tolist(), rate.tolist(), start.tolist(), strict=True)}
+        corners = np.unique(np.concatenate([[0.0], start, start + size / rate]))
+        served = np.zeros(len(corners))
+        for n, r, v in self.of.values():
+            served += np.clip(r * (corners - v), 0.0, n)
+        self.times = np.interp(np.linspace(0.0, size.sum(), stretches + 1), served, corners)
+        self.begins = sum(self.ends_of(s) for s in sources)
+
+    def ends_of(self, source: str) -> np.ndarray:
+        """The ids of ``source`` that lie before each stretch, and at last all of them."""
+        n, r, v = self.of[source]
+        ends = np.floor(np.clip(r * (self.times - v), 0.0, n)).astype(np.int64)
+        ends[-1] = int(n)
+        return np.maximum.accumulate(ends)
+
+
 def encoded_documents(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1) -> DataFrame:
     """``doc_id, source, place, n_tokens, ids`` of each row; ids little-endian, the end id included."""
     width = id_width(tokenizer_path, end_id)
@@ -146,54 +184,65 @@ def pack(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text:
     buckets = partitions_for(spark, total, bucket_tokens)
     encoded = encoded.withColumn("bucket", F.pmod("place", F.lit(buckets)))
     sums = encoded.groupBy("bucket", "source").agg(F.sum("n_tokens").alias("n"))
-    of_source = sums.groupBy("source").agg(F.sum("n").alias("of_source"))
-    if targets is not None:
-        given = F.create_map(*[x for s, w in targets.items() for x in (F.lit(s), F.lit(float(w)))]) if targets else None
-        weight = F.coalesce(given[F.col("source")], F.lit(0.0)) if targets else F.lit(0.0)
-    else:
-        weight = F.col("of_source").cast("double")
-    weights = of_source.select("source", weight.alias("weight"))
-    whole = weights.agg(F.sum("weight").alias("whole"), F.count("*").alias("sources"))
-    shares = weights.crossJoin(F.broadcast(whole)).select(  # one row
-        "source", F.when(F.col("whole") > 0, F.col("weight") / F.col("whole")).otherwise(1.0 / F.col("sources")).alias("share"))
-    begins = running_before(sums.groupBy("bucket").agg(F.sum("n").alias("n")), "bucket", "n").select(
-        "bucket", F.col("before").alias("begin"))
+    sources = {r.source: r.n for r in sums.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    if not sources:
+        return spark.createDataFrame([], PIECES)
+    stream = Stream(sources, targets, buckets)
     held = running_before(sums, "bucket", "n", ("source",)).select("bucket", "source", F.col("before").alias("held"))
-    plan = held.join(begins, "bucket").join(shares, "source").select(
-        F.col("bucket").alias("of_bucket"), F.col("source").alias("queue"), "begin", "share",
-        (F.col("share") * F.col("begin") - F.col("held")).alias("deficit"))
+    # Queue places: rows of a hash bucket in order, after the smaller buckets of the same source.
+    queue = Window.partitionBy("bucket", "source").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = encoded.repartition(buckets, "bucket", "source").withColumn("ahead", F.sum("n_tokens").over(queue) - F.col("n_tokens"))
+    placed = placed.join(held.repartition(buckets, "bucket", "source"), ["bucket", "source"]).select(
+        "doc_id", "source", (F.col("held") + F.col("ahead")).alias("at"), "n_tokens", "ids")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends: dict[str, np.ndarray] = {}
+        for batch in batches:
+            out: list[tuple] = []
+            for d, s, at, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if s not in ends:
+                    ends[s] = stream.ends_of(s)
+                b, done = int(np.searchsorted(ends[s], at, "right")) - 1, 0
+                while done < n:
+                    got = min(n - done, int(ends[s][b + 1]) - at - done)
+                    if got:
+                        out.append((b, s, at + done, d, done, got, n, data[done * width:(done + got) * width]))
+                    done, b = done + got, b + 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), CUT.types, strict=True)], schema=CUT)
+
+    stretches = placed.mapInArrow(cut, "stretch long, source string, at long, doc_id long, start long, n long, n_tokens long, ids binary")
     window = window_sequences * seq_len
 
-    def serve_bucket(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = right["queue"].to_pylist()
+    def serve_stretch(left: pa.Table) -> pa.Table:
+        names = sorted(set(left["source"].to_pylist()))
         number = {s: i for i, s in enumerate(names)}
-        order = np.lexsort((left["doc_id"].to_numpy(), left["place"].to_numpy()))
         rows: list[list[int]] = [[] for _ in names]
-        sources, counts = left["source"].to_pylist(), left["n_tokens"].to_pylist()
-        for i in order.tolist():
+        sources, counts = left["source"].to_pylist(), left["n"].to_pylist()
+        for i in np.argsort(left["at"].to_numpy(), kind="stable").tolist():
             rows[number[sources[i]]].append(i)
         queues = [[counts[i] for i in q] for q in rows]
         ids, doc_ids = left["ids"].to_pylist(), left["doc_id"].to_pylist()
-        share = np.array(right["share"].to_pylist())
-        at = right["begin"][0].as_py() if len(names) else 0
+        starts, lengths = left["start"].to_pylist(), left["n_tokens"].to_pylist()
+        share = np.array([stream.weight[s] for s in names])
+        at = int(stream.begins[left["stretch"][0].as_py()])
         done = [0] * left.num_rows
         out: list[tuple] = []
         wide: dict[int, bytes] = {}
-        for s, k, n in serve(queues, share / max(share.sum(), 1e-300), np.array(right["deficit"].to_pylist()), at, window):
+        for s, k, n in serve(queues, share / share.sum(), np.zeros(len(names)), at, window):
             i = rows[s][k]
             if i not in wide:
                 wide[i] = np.frombuffer(ids[i], f"<u{width}").astype("<u4").tobytes()
             while n:
                 got = min(n, seq_len - at % seq_len)
                 a = done[i]
-                out.append((doc_ids[i], a, got, zlib.crc32(wide[i][4 * a:4 * (a + got)]), counts[i], at // seq_len,
+                out.append((doc_ids[i], starts[i] + a, got, zlib.crc32(wide[i][4 * a:4 * (a + got)]), lengths[i], at // seq_len,
                             at % seq_len, names[s]))
                 done[i], at, n = a + got, at + got, n - got
             if done[i] == counts[i]:
                 del wide[i]
-        columns = list(zip(*out, strict=True)) or [[]] * 8
+        columns = list(zip(*out, strict=True))
         return pa.table([pa.array(c, pa.int64()) for c in columns[:7]] + [pa.array(columns[7], pa.string())],
                         names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
 
-    encoded, plan = encoded.repartition(buckets, "bucket"), plan.repartition(buckets, "of_bucket")
-    return encoded.groupBy("bucket").cogroup(plan.groupBy("of_bucket")).applyInArrow(serve_bucket, PIECES)
+    return stretches.repartition(buckets, "stretch").groupBy("stretch").applyInArrow(serve_stretch, PIECES)

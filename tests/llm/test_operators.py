@@ -172,6 +172,33 @@ def test_packing(spark, edge, source):
     assert packing.pack(df.limit(0), WORD).count() == 0
 
 
+def test_targets_hold_over_stretches(spark):
+    rows = [(i, " ".join(LONG[i % 7:i % 7 + 40]), "small" if i % 10 == 0 else "rest" if i % 10 == 1 else "large") for i in range(400)]
+    ids_of = {t: np.array(library_ids(WORD, t) + [1], "<u4") for t in {t for _, t, _ in rows}}
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    pieces = packing.pack(df, WORD, seq_len=64, window_sequences=4, bucket_tokens=4000, targets={"small": 0.5, "large": 0.5}).collect()
+    held, order = defaultdict(int), sorted(pieces, key=lambda r: (r.sequence_id, r.offset))
+    for r in order:
+        held[r.source] += r.length
+    assert sum(held.values()) == sum(len(ids_of[t]) for _, t, _ in rows) > 8 * 4000
+    given, at = defaultdict(int), 0
+    for r in order:
+        assert r.sequence_id * 64 + r.offset == at
+        given[r.source], at = given[r.source] + r.length, at + r.length
+        # A window is 256 ids; where two stretches meet there may be two short ones.
+        assert abs(given["small"] - min(at / 2, held["small"])) <= 512
+        assert abs(given["rest"] - max(0, at - held["small"] - held["large"])) <= 512
+    parts = defaultdict(list)
+    for r in pieces:
+        parts[r.doc_id].append((r.start, r.length, r.ids_crc32))
+    for d, t, _ in rows:
+        ids, end = ids_of[t], 0
+        for start, n, crc in sorted(parts[d]):
+            assert start == end and crc == zlib.crc32(ids[start:start + n].tobytes())
+            end += n
+        assert end == len(ids)
+
+
 def test_queues_keep_to_their_shares():
     queues = [[100] * 50, [7] * 300, [5000]]
     share = np.array([sum(q) for q in queues]) / sum(map(sum, queues))
