@@ -95,20 +95,30 @@ def hashed(rows: DataFrame, width: int, tables: int, probes: int, seed: int) ->
 
 
 def best_of_block(left: pa.Table, right: pa.Table, width: int, k: int) -> pa.Table:
-    """The ``k`` best of a block's vectors for each of its queries."""
+    """The ``k`` best ids of a block for each of its queries, each with its best row."""
     out_q, out_v, out_s = [], [], []
     if left.num_rows and right.num_rows:
         asked, ids = left["query_id"].to_numpy(), right["vec_id"].to_numpy()
-        q, x = matrix(left["q"], width), matrix(right["v"], width)
+        by_id = np.argsort(ids, kind="stable")
+        ids = ids[by_id]
+        firsts = np.flatnonzero(np.concatenate([[True], np.diff(ids) != 0]))
+        q, x = matrix(left["q"], width), matrix(right["v"], width)[by_id]
         for i in range(0, len(asked), 256):
             # Not a BLAS call: its threads would compete with the other tasks of the machine.
             rough = np.einsum("ij,kj->ik", q[i:i + 256], x)
             rough[asked[i:i + 256, None] == ids[None, :]] = -np.inf
-            # A little below the k-th best, so that the order of a sum decides nothing.
-            limit = np.partition(rough, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(rough), -np.inf)
+            # A little below the k-th best id, so that the order of a sum decides nothing.
+            of_id = np.maximum.reduceat(rough, firsts, axis=1) if len(firsts) < len(ids) else rough
+            limit = np.partition(of_id, -k, axis=1)[:, -k] if len(firsts) > k else np.full(len(rough), -np.inf)
             slack = 1e-12 * np.maximum(np.abs(rough).max(axis=1, initial=0, where=np.isfinite(rough)), 1e-300)
             a, b = np.nonzero((rough >= (limit - slack)[:, None]) & np.isfinite(rough))
             score = (q[i + a] * x[b]).sum(axis=1)
+            # Several rows of one id: the best one.
+            order = np.lexsort((-score, ids[b], a))
+            a, b, score = a[order], b[order], score[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (np.diff(a) != 0) | (np.diff(ids[b]) != 0)
+            a, b, score = a[new], b[new], score[new]
             order = np.lexsort((ids[b], -score, a))
             a, b, score = a[order], b[order], score[order]
             place = np.arange(len(a)) - np.searchsorted(a, a)

@@ -96,6 +96,23 @@ def test_nearest_neighbours_recall(spark):
     assert np.mean([len(set(got[q]) & set(t)) / 20 for q, t in truth.items()]) >= 0.9
 
 
+@pytest.mark.parametrize("copies", [2, 30])
+def test_copies_of_an_id_take_one_place(spark, copies):
+    rnd = random.Random(2)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(8)]) for i in range(30)]
+    once = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    # Every second copy is another vector of the id with a lower score for some queries.
+    df = spark.createDataFrame([(i, v if c % 2 == 0 else [x / 2 for x in v]) for i, v in rows for c in range(copies)],
+                               "vec_id long, embedding array<double>")
+    got, scores = defaultdict(list), {}
+    for r in ann.search(df, "vec_id = 0", k=20, tables=1, probes=1).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+        scores[r.vec_id] = r.score
+    truth = {i: max(a * b * np.dot(rows[0][1], rows[i][1]) for a in (1, 0.5) for b in (1, 0.5)) for i in range(1, 30)}
+    assert got[0] == sorted(truth, key=lambda i: -truth[i])[:20] and all(abs(scores[i] - truth[i]) < 1e-9 for i in got[0])
+    assert ann.search(once, "vec_id = 0", k=20, tables=1, probes=1).count() == 20
+
+
 def test_hot_bucket_is_dealt_over_blocks(spark):
     df = spark.createDataFrame([(i, [1.0, i / 1e6]) for i in range(300)], "vec_id long, embedding array<double>")
     got = ann.search(df, "vec_id % 20 = 0", block_rows=16, k=3).filter("query_id = 0").orderBy("rank").collect()
