@@ -161,16 +161,21 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
 
 def remove_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
-    """``docs`` with later copies of line runs deleted; documents that lose their last word go."""
-    out = with_lines_removed(docs, doc_id=doc_id, text=text, min_lines=min_lines)
-    stays = F.col("_gone").isNull() | F.col(f"`{text}`").rlike(r"[^ \t-\r]")
-    return out.filter(stays).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with later copies of line runs deleted; documents that lose their last word go.
 
+    The rebuilt texts are written before they are judged: a filter on them would be moved
+    below the projections and split a text again for each of its lines.
+    """
+    names = docs.columns
+    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    rebuilt = stage(with_lines_removed(inner, doc_id=f"c{names.index(doc_id)}", text=f"c{names.index(text)}", min_lines=min_lines),
+                    "lines-removed")
+    stays = F.col("_gone").isNull() | F.col(f"c{names.index(text)}").rlike(r"[^ \t-\r]")
+    return rebuilt.filter(stays).select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
 
-def brute_force(rows: list[tuple[int | None, str | None]], min_lines: int = MIN_LINES) -> list[tuple]:
-    """(doc_id, n_lines, n_removed, kept_sha256) by the definition; for tests."""
-    import hashlib
 
+def brute_kept(rows: list[tuple[int | None, str | None]], min_lines: int = MIN_LINES) -> list[tuple]:
+    """(doc_id, n_lines, n_removed, kept text) by the definition; for tests."""
     docs = [(d, None if t is None else t.split("\n")) for d, t in rows]
     gone: list[set[int]] = [set() for _ in docs]
     places = [(n, i) for n, (_, lines) in enumerate(docs) for i in range(len(lines or []))]
@@ -198,5 +203,12 @@ def brute_force(rows: list[tuple[int | None, str | None]], min_lines: int = MIN_
     for (d, lines), gone_here in zip(docs, gone, strict=True):
         lines = lines or []
         kept = "\n".join(x for i, x in enumerate(lines) if i not in gone_here)
-        out.append((d, len(lines), len(gone_here), hashlib.sha256(kept.encode()).hexdigest()))
+        out.append((d, len(lines), len(gone_here), kept))
     return out
+
+
+def brute_force(rows: list[tuple[int | None, str | None]], min_lines: int = MIN_LINES) -> list[tuple]:
+    """(doc_id, n_lines, n_removed, kept_sha256) by the definition; for tests."""
+    import hashlib
+
+    return [(d, n, gone, hashlib.sha256(kept.encode()).hexdigest()) for d, n, gone, kept in brute_kept(rows, min_lines)]

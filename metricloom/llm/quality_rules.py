@@ -15,12 +15,15 @@ columns do not matter.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metricloom.llm.storage import stage
+
 SPACE = r"[ \t-\r]"
 SYMBOLS = r"[#*$%&|<>]"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -107,12 +110,24 @@ def judged(rows: DataFrame, policy: str = "v1") -> DataFrame:
     return rows.withColumn("base_failed", ~passes("base")).withColumn("kept", passes("base") & passes(policy))
 
 
-def filter_documents(docs: DataFrame, *, text: str = "text", policy: str = "v1") -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, with their own columns only."""
+def stored_ledger(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """``docs`` beside their ledger in a written table: columns ``c0, c1, ..``, the measures and ``failed_rules``.
+
+    Policies read the stored bits alone. A filter on the computed ones would be moved below
+    the projections and compute each text's arrays once for every window.
+    """
     names = docs.columns
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    bits = measured(inner, f"c{names.index(text)}").withColumn("failed_rules", failure_bits())
-    return bits.filter(passes("base") & passes(policy)).select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    return stage(measured(inner, f"c{names.index(text)}").withColumn("failed_rules", failure_bits()), "rule-ledger")
+
+
+def filter_documents(docs: DataFrame, *, text: str = "text", policy: str = "v1") -> DataFrame:
+    """The rows of ``docs`` that the policy keeps, with their own columns only.
+
+    Null and empty texts have few words and go; repeated rows are judged alike; an empty table stays empty.
+    """
+    kept = stored_ledger(docs, text=text).filter(passes("base") & passes(policy))
+    return kept.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(docs.columns)])
 
 
 def ablation(rows: DataFrame, policies: Mapping[str, int] | None = None) -> DataFrame:
@@ -133,3 +148,23 @@ def ablation(rows: DataFrame, policies: Mapping[str, int] | None = None) -> Data
         F.sum(F.when(hit == F.col("bit"), F.col("n")).otherwise(0)).alias("n_removed_alone"),
         F.sum(F.when(hit != 0, F.col("n")).otherwise(0)).alias("n_removed_by_policy"),
     )
+
+
+def brute_force(text: str | None) -> tuple[dict[str, int], set[str]]:
+    """The measures of a text and the names of the rules that it fails, by the definition; for tests."""
+    import re
+
+    t = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    windows = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
+    twice = {w for w, n in Counter(windows).items() if n > 1}
+    covered = {i + k for i, w in enumerate(windows) if w in twice for k in range(3)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    m = {"n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": len(re.findall(SYMBOLS, t)),
+         "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(covered), "n_lines": len(lines)}
+    fails = {
+        "few_words": m["n_words"] < 50, "repeated_words": 100 * m["n_repeat_words"] > 50 * m["n_words"],
+        "symbols": 100 * m["n_symbols"] > 20 * m["word_chars"], "duplicate_lines": 100 * m["n_dup_lines"] > 30 * m["n_lines"],
+        "word_length": m["word_chars"] < 2 * m["n_words"] or m["word_chars"] > 20 * m["n_words"],
+    }
+    return m, {name for name, failed in fails.items() if failed}

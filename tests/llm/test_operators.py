@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import os
 import random
-import re
 import zlib
 from collections import defaultdict
 
@@ -319,16 +318,3 @@ def test_token_files(spark, edge, source):
     assert token_files.read_token_files(spark, empty).count() == 0
 
 
-def test_pipeline_stages_take_effect(spark):
-    docs = table(spark)
-    kept = docs
-    for name, step in corpus_pipeline.STAGES[:-1]:
-        after = spark.createDataFrame(step(spark, kept, DATA).collect(), docs.schema)
-        assert after.columns == docs.columns and after.count() <= kept.count(), name
-        kept = after
-    rows = pairs_of(kept)
-    assert not suffix_dedup.brute_force(rows)
-    words = [len(re.findall(r"\S+", t)) for _, t in rows]
-    assert rows and min(words) > 0
-    pieces = corpus_pipeline.STAGES[-1][1](spark, kept, DATA)
-    assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {d for d, _ in rows}
