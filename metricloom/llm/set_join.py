@@ -9,7 +9,8 @@ Every link of 0.75 or more counts, none is listed twice, and no group is paired
    Next the sets left are looked at whole: ``ceil(3n/4)`` of their shingles must be repeated.
 3. Lists of (shingle, size block) skip every block whose sizes cannot link. Each list has a
    pivot, and its members are compared with the pivots of their own and the next smaller block.
-   Links to pivots give components.
+   Links to pivots give components. Sets close to the centre of a group of similar ones are linked
+   without being compared: what each differs in from the centre bounds what two of them differ in.
 4. Answers from similar sets. What is left are links between components. Shingles inside
    one component cannot make one, so sets are ordered by the number of components that hold
    a shingle, and only sets with ``ceil(3n/4)`` shingles in several components go on. They meet
@@ -198,6 +199,29 @@ def pivot_links(sets: DataFrame) -> DataFrame:
     return overlaps(met.withColumn("rank", best).filter(F.col("rank") <= PIVOTS).select("a", "b"), sets)
 
 
+def star_links(sets: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Links ``a, b`` of sets that lie close to one centre, known without comparing them with each other.
+
+    Sets with the same best pivot form a group, and its centre holds the shingles that most of them have. Two
+    sets that each differ from a centre in at most a seventh of their own size differ from one another in
+    at most a seventh of both sizes, which is a link. Each names the smallest id around its centre; groups
+    with equal centres are one.
+    """
+    best = pivots.groupBy("a").agg(F.max(F.struct("common", "b")).alias("p")).select(
+        F.col("a").alias("doc_id"), F.col("p.b").alias("pivot"))
+    group = stage(best.union(best.select("pivot", "pivot")).distinct(), "star-groups")
+    grouped = stage(sets.join(group, "doc_id"), "star-sets")
+    sizes = grouped.groupBy("pivot").agg(F.count("*").alias("size"))
+    counts = grouped.select("pivot", F.explode("shingles").alias("h")).groupBy("pivot", "h").agg(F.count("*").alias("held"))
+    centres = counts.join(sizes, "pivot").filter("2 * held > size").groupBy("pivot").agg(F.sort_array(F.collect_list("h")).alias("centre"))
+    centres = stage(centres.withColumn("c1", F.xxhash64("centre")).withColumn("c2", F.hash("centre")), "star-centres")
+    apart = F.col("n") + F.size("centre") - 2 * F.size(F.array_intersect("shingles", "centre"))
+    around = grouped.join(centres, "pivot").filter(7 * apart <= F.col("n")).select("c1", "c2", "doc_id").distinct()
+    around = stage(around, "star-members")
+    smallest = stage(around.groupBy("c1", "c2").agg(F.min("doc_id").alias("b"), F.count("*").alias("held")).filter("held > 1"), "stars")
+    return around.join(smallest, ["c1", "c2"]).filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+
+
 def narrow_block(n: str) -> Column:
     return F.floor(F.log(F.col(n)) / F.log(F.lit(NARROW))).cast("int")
 
@@ -269,7 +293,7 @@ def joined(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Da
     left = whole.join(sets.groupBy("doc_id").agg(F.min("n").alias("n")), "doc_id").filter("repeated >= ceil(3 * n / 4)")
     sets = stage(sets.join(stage(left.select("doc_id"), "ids-left"), "doc_id"), "sets-left")
     pivots = stage(pivot_links(sets), "pivot-links")
-    links = pivots.filter(LINKED).select("a", "b")
+    links = stage(pivots.filter(LINKED).select("a", "b").union(star_links(sets, pivots)), "first-links")
     labels = components(links)
     more = between_components(sets, pivots, labels)
     final = components(links.union(more).union(equal))
