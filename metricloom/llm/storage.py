@@ -2,19 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from metricloom.session import scratch_path
 
+_scopes: list[list[str]] = []
+
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below ``spark.checkpoint.dir`` and read it back."""
     spark, schema = df.sparkSession, df.schema
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    for made in _scopes:
+        made.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+@contextmanager
+def tables_made() -> Iterator[list[str]]:
+    """The paths of all tables that ``stage`` writes inside the block."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+
+
+def drop_tables(spark: SparkSession, paths: list[str], needed: DataFrame) -> list[str]:
+    """Delete those of the written tables that ``needed`` does not read; the others are returned."""
+    read = needed.inputFiles()
+    kept = [p for p in paths if any(f"/{p.rsplit('/', 1)[1]}/" in f for f in read)]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        if p not in kept:
+            at = jvm.org.apache.hadoop.fs.Path(p)
+            at.getFileSystem(conf).delete(at, True)
+    return kept
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
