@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from metricloom.llm import line_dedup, quality_rules, set_join, suffix_dedup
+from metricloom.session import scratch_path
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 DATA = "/root/testdata/sf0.001"
@@ -64,7 +65,9 @@ def brute_spans(rows):
 def run_stages(spark, docs):
     found = []
     for _, step in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.stage(step(spark, docs, DATA), "test-stage")
+        path = scratch_path(spark, "test-stage")
+        step(spark, docs, DATA).write.parquet(path)
+        docs = spark.read.parquet(path)
         found.append(docs)
     return found
 
@@ -112,3 +115,14 @@ def test_long_texts_take_seconds(spark):
     assert quality_rules.filter_documents(docs).count() == 1
     assert {r.doc_id: r.text[-4:] for r in line_dedup.remove_lines(docs).collect()} == {1: "9999", 2: "many", 3: "last"}
     assert time.time() - began < 30
+
+
+def test_scratch_tables_go_when_the_next_stage_begins(spark):
+    docs = spark.createDataFrame([(1, stretch(0, 90), "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    first = corpus_pipeline.quality(spark, docs, DATA)
+    left = list(corpus_pipeline._scratch)
+    # Not written between the stages: what is still read stays.
+    second = corpus_pipeline.lines(spark, first, DATA)
+    assert left and set(left) <= set(corpus_pipeline._scratch) and second.count() == 1
+    corpus_pipeline.near_duplicates(spark, docs, DATA)
+    assert not set(left) & set(corpus_pipeline._scratch)
