@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from metricloom.llm import (
-    ann, bpe_codec, line_dedup, packing, quality_rules, set_join, substring_dedup, suffix_dedup, token_counts, token_files,
+    ann, bpe_codec, lexical, line_dedup, packing, quality_rules, set_join, substring_dedup, suffix_dedup, token_counts, token_files,
 )
 from metricloom.llm.storage import read_table
 from metricloom.session import scratch_path
@@ -103,3 +103,32 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+SQL["op13_lexical_search"] = r"""
+WITH held AS (
+  SELECT row_number() OVER () AS r, doc_id, ws FROM (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents)
+  WHERE len(ws) > 0),
+whole AS (SELECT count(*) AS docs, CAST(sum(len(ws)) AS BIGINT) AS terms FROM held),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+places AS (SELECT r, doc_id, len(ws) AS n, unnest(ws) AS term FROM held),
+counted AS (SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM places
+            WHERE term IN (SELECT term FROM asked) GROUP BY r, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w
+            FROM counted, whole GROUP BY term, docs),
+scored AS (
+  SELECT item_id, doc_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM counted JOIN weights USING (term) JOIN asked USING (term), whole GROUP BY item_id, doc_id, r),
+ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+           FROM scored WHERE score > 0)
+SELECT CAST(item_id AS BIGINT) AS item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
