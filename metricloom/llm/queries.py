@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from metricloom.llm import (
-    ann, bpe_codec, lexical, line_dedup, packing, quality_rules, set_join, substring_dedup, suffix_dedup, token_counts, token_files,
+    ann, bpe_codec, hard_negatives, lexical, line_dedup, packing, quality_rules, set_join, substring_dedup, suffix_dedup, token_counts, token_files,
 )
 from metricloom.llm.storage import read_table
 from metricloom.session import scratch_path
@@ -132,3 +133,34 @@ ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_i
            FROM scored WHERE score > 0)
 SELECT CAST(item_id AS BIGINT) AS item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
 """
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    # The contract's noise in the labels.
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), "vec_id % 100 = 0")
+
+
+SQL["op12_hard_negatives"] = r"""
+WITH held AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, h.vec_id, a.label = h.label AS same, CAST(list_inner_product(a.v, h.v) AS BIGINT) AS score
+  FROM held a JOIN held h ON a.vec_id <> h.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (
+    SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM scored WHERE same) WHERE k <= 5),
+negatives AS (
+  SELECT p.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id
+  WHERE NOT same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM negatives WHERE rank <= 5
+"""
