@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricloom.llm import (
-    ann, bpe_codec, hard_negatives, lexical, line_dedup, packing, quality_rules, set_join, substring_dedup, suffix_dedup, token_counts, token_files,
+    ann, bpe_codec, hard_negatives, lexical, line_dedup, mixing, packing, quality_rules, set_join, substring_dedup, suffix_dedup, token_counts, token_files,
 )
 from metricloom.llm.storage import read_table
 from metricloom.session import scratch_path
@@ -164,3 +164,9 @@ negatives AS (
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
 FROM negatives WHERE rank <= 5
 """
+
+
+@query
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mixture(read_table(spark, sf_dir, "documents"))
+    return plan.taken().select("doc_id", "size", "source_size", "target", "taken", "source")
