@@ -3,9 +3,14 @@
 Ranking curves, ranks, exact percentiles and N-tiles all need running totals
 along a sorted value. A plain window partitioned by the group would sort the
 group in one task, and one day or segment may hold a third of all rows. Here a
-group is cut into value blocks: running totals are taken inside each block, and
-each block starts from the total of the blocks before it. Blocks follow from
-the value alone, so a recomputed task gets the same blocks.
+group is cut into blocks of values: running totals are taken inside each block, and
+each block starts from the total of the blocks before it.
+
+Blocks follow the data. One value in ``BLOCK_ROWS``, chosen by a hash, ends a block: a sample that merges
+from any partitioning and is the same in every run. So a block holds about that many distinct values
+wherever they lie, in a narrow range as well as over many orders of magnitude. Values are
+counted and written first, then their splitters, so all branches see the same blocks, and the planner knows
+whether the splitters are small enough to be broadcast. Without the rows for two blocks there is one, and no splitters.
 """
 
 from __future__ import annotations
@@ -15,28 +20,42 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricloom.functions.numeric import as_col
-
-# Blocks per doubling of the value.
-BLOCKS_PER_OCTAVE = 1024
-# Above the exponent of the smallest double, so that blocks of positive values stay positive.
-EXPONENT_SHIFT = 1100
-
-
-def value_block(value: Column | str) -> Column:
-    """Block number that never decreases as the double ``value`` grows; NULL comes first, NaN last."""
-    value = as_col(value)
-    octave = F.least(F.log2(F.abs(value)), F.lit(1025.0))
-    magnitude = F.floor((octave + EXPONENT_SHIFT) * BLOCKS_PER_OCTAVE)
-    block = (
-        F.when(F.isnan(value), F.lit(1 << 31))
-        .when(value > 0, magnitude)
-        .when(value < 0, -magnitude)
-        .when(value == 0, F.lit(0))
-        .cast("long")
-    )
+from metricloom.session import written
+
+#: Distinct values of a group that share a block, on average.
+BLOCK_ROWS = 32_768
+
+
+def splitters(df: DataFrame, keys: Sequence[str], order: str, block_rows: int) -> DataFrame:
+    """``_key, _marks``: the ascending values at which the blocks of a group begin; groups with one block are missing."""
+    value = F.col(order).cast("double")
+    chosen = df.filter(value.isNotNull() & ~F.isnan(value)).filter(F.pmod(F.xxhash64(F.lit(29), value), F.lit(block_rows)) == 0)
+    return chosen.groupBy(group_key(keys).alias("_key")).agg(F.sort_array(F.collect_set(value)).alias("_marks"))
+
+
+def block_of(value: Column, marks: Column) -> Column:
+    """How many of the ascending ``marks`` are at most ``value``, by binary search; NULL comes first, NaN last."""
+    steps = F.reverse(F.sequence(F.lit(0), F.length(F.bin(F.size(marks))) - 1))
+
+    def down(at: Column, step: Column) -> Column:
+        further = at + F.pow(F.lit(2.0), step).cast("int")
+        return F.when((further <= F.size(marks)) & (F.get(marks, further - 1) <= value), further).otherwise(at)
+
+    found = F.when(F.size(marks) > 0, F.aggregate(steps, F.lit(0), down)).otherwise(F.lit(0))
     # Never NULL, so that joins on the block add no filter and both sides stay the same subplan.
-    return F.coalesce(block, F.lit(-(1 << 31)).cast("long"))
+    return F.coalesce(F.when(value.isNull(), F.lit(-1)).otherwise(found), F.lit(0)).cast("long")
+
+
+def with_blocks(df: DataFrame, keys: Sequence[str], order: str, block_rows: int | None = None) -> DataFrame:
+    """``df``, written, with ``_key`` and ``_block``."""
+    block_rows = block_rows or BLOCK_ROWS
+    table = written(df, "ordered-values")
+    keyed = table.withColumn("_key", group_key(keys))
+    if table.count() <= 2 * block_rows:
+        return keyed.withColumn("_block", F.lit(0).cast("long"))
+    marks = written(splitters(table, keys, order, block_rows), "ordered-splitters")
+    joined = keyed.join(marks, "_key", "left").withColumn("_marks", F.coalesce("_marks", F.array().cast("array<double>")))
+    return joined.withColumn("_block", block_of(F.col(order).cast("double"), F.col("_marks"))).drop("_marks")
 
 
 def group_key(keys: Sequence[str]) -> Column:
@@ -52,13 +71,19 @@ def running_totals(
     *,
     descending: bool = False,
     tie_break: Sequence[str] = (),
+    block: Column | None = None,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Add ``cum_<c>`` (through the row) and ``total_<c>`` (of the group) for every ``c`` in ``sums``.
 
-    ``df`` holds one row per (keys, order, tie_break); callers pre-aggregate first.
+    ``df`` holds one row per (keys, order, tie_break); callers pre-aggregate first. ``block`` is for orders whose
+    blocks are known without looking at the data: a long that never decreases along the order and depends on it alone.
     """
     direction = F.desc if descending else F.asc
-    blocked = df.withColumn("_key", group_key(keys)).withColumn("_block", value_block(F.col(order).cast("double")))
+    if block is None:
+        blocked = with_blocks(df, keys, order, block_rows)
+    else:
+        blocked = df.withColumn("_key", group_key(keys)).withColumn("_block", block.cast("long"))
     # One shuffle serves the block totals and the running totals; Spark reuses it for both.
     blocked = blocked.repartition("_key", "_block")
 

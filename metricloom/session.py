@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Set at session creation; a cluster's own values for sizes take precedence.
 RECOMMENDED = {
@@ -41,3 +41,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="metricloom-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table below the scratch folder.
+
+    Its plan is cut there: every branch reads the same rows, sizes are known to the planner, and a lost executor costs
+    no more than reading again.
+    """
+    spark, schema, path = df.sparkSession, df.schema, scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(schema).parquet(path)

@@ -13,9 +13,42 @@ from tests.conftest import day
 def test_blocks_never_decrease(spark):
     values = [None, float("-inf"), -1e300, -2.0, -1.0000001, -1.0, -1e-308, -0.0, 0.0, 5e-324, 0.25, 0.9999, 1.0, 3.7,
               1e308, float("inf"), float("nan")]
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
-    blocks = [r[0] for r in df.orderBy("i").select(ordered.value_block("v")).collect()]
-    assert blocks == sorted(blocks)
+    marks = [[], [0.0], [-2.0, 0.25], [-1e300, -1.0, 0.0, 1.0, 3.7], sorted(v for v in values if v is not None and v == v)]
+    df = spark.createDataFrame([(i, j, v, m) for i, v in enumerate(values) for j, m in enumerate(marks)],
+                               "i int, j int, v double, m array<double>")
+    for j, m in enumerate(marks):
+        blocks = [r[0] for r in df.filter(F.col("j") == j).orderBy("i").select(ordered.block_of(F.col("v"), F.col("m"))).collect()]
+        assert blocks == sorted(blocks)
+        assert blocks == [-1 if v is None else len(m) if v != v else sum(x <= v for x in m) for v in values]
+
+
+@pytest.mark.parametrize("values", ["scores", "milliseconds", "heavy tail"])
+def test_blocks_follow_the_data(spark, values):
+    """A million values of a narrow range, of one day, or of all magnitudes fill blocks of about the same size."""
+    n = 1_000_000
+    i = F.col("id")
+    value = {"scores": F.lit(0.9994) + i * F.lit(0.0006 / n), "milliseconds": F.lit(1.7e12) + i * 86.4,
+             "heavy tail": F.exp(i / 2000.0)}[values]
+    rows = spark.range(n).select(F.when(i % 3 < 2, "hot").otherwise("other").alias("g"), value.alias("v"), F.lit(1).cast("long").alias("n"))
+    rows = rows.filter(~F.isnan("v") & (F.abs("v") < float("inf"))).distinct()
+    total = rows.filter("g = 'hot'").count()
+    sizes = [r[0] for r in ordered.with_blocks(rows, ["g"], "v", 8192).filter("g = 'hot'").groupBy("_block").count().select("count").collect()]
+    # Gaps between chosen values are geometric: none of some eighty exceeds ten times the mean but by odds of one to hundreds.
+    assert sum(sizes) == total and len(sizes) > total / 8192 / 2 and max(sizes) < 10 * 8192
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_totals_over_many_blocks(spark, descending):
+    rng = random.Random(9)
+    rows = [(g, v, rng.randint(0, 9)) for g, n in (("a", 900), ("b", 3), (None, 400)) for v in {round(rng.gauss(0, 1), 4) for _ in range(n)}]
+    rows += [("a", None, 4), ("a", float("nan"), 5)]
+    df = spark.createDataFrame(rows, "g string, v double, n long")
+    out = ordered.running_totals(df, ["g"], "v", ["n"], descending=descending, block_rows=20).collect()
+    assert len(out) == len(rows)
+    for g in ("a", "b", None):
+        part = sorted((r for r in out if r["g"] == g), key=lambda r: (r["v"] is not None, r["v"] != r["v"], r["v"] or 0), reverse=descending)
+        assert [r["cum_n"] for r in part] == list(np.cumsum([r["n"] for r in part]))
+        assert {r["total_n"] for r in part} == {sum(r["n"] for r in part)}
 
 
 @pytest.mark.parametrize("descending", [False, True])
