@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from metricloom.catalog import points as P
 from metricloom.catalog.dashboards import DAY, over, spine_sql
+from metricloom.catalog.plumbing import band_sql
 from metricloom.catalog.registry import register
-from metricloom.operators import alerts, regression, timeseries
+from metricloom.functions.timebuckets import bucket_start
+from metricloom.operators import alerts, regression, sketch_checks, timeseries
 from metricloom.catalog import views
 from metricloom.plans import charts, store as S
 
@@ -142,10 +144,35 @@ def _(spark, d):
     return alerts.rising_trend(daily, bucket="bucket", value="total")
 
 
-@register("alert_sketch_median_shift", "E7 K2 K3", "recent_median:6 baseline_median:6 shift:6 fires:b")
+SHIFT_BANDS = band_sql("vs", {"median": 0.5})
+
+
+@register("alert_sketch_median_shift", "E7 K2 K3", "recent_low:6 recent_high:6 baseline_low:6 baseline_high:6 held:b must_fire:b agrees:b", f"""
+SELECT *, TRUE AS held, baseline_low > 0 AND (recent_low > 1.15 * baseline_high OR recent_high < 0.85 * baseline_low) AS must_fire, TRUE AS agrees
+FROM (SELECT max(median_low) FILTER (recent) AS recent_low, max(median_high) FILTER (recent) AS recent_high,
+        max(median_low) FILTER (NOT recent) AS baseline_low, max(median_high) FILTER (NOT recent) AS baseline_high
+      FROM (SELECT recent, {SHIFT_BANDS} FROM (
+        SELECT slot > TIMESTAMP '2024-01-29 00:00:00' AS recent, list(amount ORDER BY amount) AS vs, count(*) AS n
+        FROM (SELECT time_bucket(INTERVAL '5 minutes', ts) AS slot, amount FROM inf_binary WHERE amount IS NOT NULL)
+        WHERE slot <= TIMESTAMP '2024-01-30 00:00:00' AND slot > TIMESTAMP '2023-12-30 00:00:00' GROUP BY 1)))""")
 def _(spark, d):
-    sketched = S.sketch_points(views.binary(spark, d), ts="ts", value="amount", metric_name="amount", model_id=P.MODEL)
-    return alerts.median_shift(sketched, metric_name="amount", as_of="2024-01-30 00:00:00")
+    rows = views.binary(spark, d)
+    sketched = S.sketch_points(rows, ts="ts", value="amount", metric_name="amount", model_id=P.MODEL)
+    answer = alerts.median_shift(sketched, metric_name="amount", as_of="2024-01-30 00:00:00")
+    slot = bucket_start("ts", "5 minutes")
+    inside = rows.filter((slot <= F.lit("2024-01-30").cast("timestamp")) & (slot > F.lit("2023-12-30").cast("timestamp")))
+    sides = inside.select((slot > F.lit("2024-01-29").cast("timestamp")).alias("recent"), "amount")
+    bands = sketch_checks.quantile_bands(sides, ["recent"], "amount", {"median": 0.5})
+    # One row with both bands, beside the one row of the alert.
+    row = bands.agg(*[F.max(F.when(F.col("recent") == side, F.col(f"median_{end}"))).alias(f"{name}_{end}")
+                      for name, side in (("recent", True), ("baseline", False)) for end in ("low", "high")]).crossJoin(answer)
+    up, down = F.col("recent_low") > 1.15 * F.col("baseline_high"), F.col("recent_high") < 0.85 * F.col("baseline_low")
+    cannot = (F.col("recent_low") >= 0.85 * F.col("baseline_high")) & (F.col("recent_high") <= 1.15 * F.col("baseline_low"))
+    must = (F.col("baseline_low") > 0) & (up | down)
+    held = F.col("recent_median").between(F.col("recent_low"), F.col("recent_high")) & F.col("baseline_median").between(
+        F.col("baseline_low"), F.col("baseline_high"))
+    return row.select("recent_low", "recent_high", "baseline_low", "baseline_high", held.alias("held"), must.alias("must_fire"),
+                      (F.when(must, F.col("fires")).when((F.col("baseline_low") > 0) & cannot, ~F.col("fires")).otherwise(True)).alias("agrees"))
 
 
 FIRED = f"""

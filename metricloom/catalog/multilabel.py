@@ -123,9 +123,9 @@ def _(spark, d):
 SILHOUETTE_OUT = "bucket:t series:s cluster_silhouette:6 silhouette_score:6"
 
 
-def silhouette_sql(distance: str) -> str:
+def silhouette_sql(distance: str, rows: str = "inf_cluster") -> str:
     return f"""
-WITH p AS (SELECT date_trunc('day', ts) AS bucket, row_id, cluster, features FROM inf_cluster),
+WITH p AS (SELECT date_trunc('day', ts) AS bucket, row_id, cluster, features FROM {rows}),
 m AS (SELECT a.bucket, a.row_id, a.cluster, b.cluster AS other, avg({distance}) AS d
       FROM p a JOIN p b USING (bucket) WHERE a.row_id <> b.row_id GROUP BY ALL),
 ab AS (SELECT bucket, row_id, min(d) FILTER (other = cluster) AS a, min(d) FILTER (other <> cluster) AS b FROM m GROUP BY ALL),
@@ -154,7 +154,9 @@ def _(spark, d):
                                  features=["f0", "f1", "f2"])
 
 
-@register("silhouette_on_sample", "F10 C1", SILHOUETTE_OUT)
+@register("silhouette_on_sample", "F10 C1", SILHOUETTE_OUT, silhouette_sql(
+    "list_distance(a.features, b.features)",
+    "(SELECT * FROM inf_cluster WHERE CAST('0x' || substr(md5('42:' || CAST(row_id AS VARCHAR)), 1, 8) AS BIGINT) < 2147483648)"))
 def _(spark, d):
     return clustering.silhouette(views.cluster(spark, d), ts="ts", row_id="row_id", cluster="cluster",
                                  features="features", sample=0.5)

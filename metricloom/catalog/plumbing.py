@@ -13,7 +13,7 @@ from metricloom.catalog.dashboards import over
 from metricloom.catalog.registry import register
 from metricloom.functions import sketches
 from metricloom.functions.timebuckets import between
-from metricloom.operators import binary, probability
+from metricloom.operators import binary, probability, sketch_checks
 from metricloom.plans import store as S
 from metricloom.plans.definitions import Binding, MetricDefinition, rebind, sql_metric
 from metricloom.session import scratch_path
@@ -118,23 +118,44 @@ def _(spark, d):
                          sketches.max_item("s").alias("high"))
 
 
-@register("sketch_median_by_segment", "K3 K7", "bucket:t segment:s n:i median:6 p95:6")
+ANSWERS = {"median": 0.5, "p95": 0.95}
+
+
+def band_sql(values: str, quantiles: dict[str, float]) -> str:
+    """The exact ends of each answer's band from ``vs``, the sorted values, and their number ``n``."""
+    gap = sketch_checks.allowed()
+    return ", ".join(
+        f"{values}[CAST(greatest(0, floor({q - gap!r}::DOUBLE * n) - 1) AS BIGINT) + 1] AS {name}_low, "
+        f"{values}[CAST(least(n - 1, ceil({q + gap!r}::DOUBLE * n)) AS BIGINT) + 1] AS {name}_high" for name, q in quantiles.items())
+
+
+@register("sketch_median_by_segment", "K2 K3 K7", "bucket:t segment:s n:i median_low:6 median_high:6 p95_low:6 p95_high:6 "
+          "median_held:b p95_held:b",
+          f"SELECT bucket, segment, n, {band_sql('vs', ANSWERS)}, TRUE AS median_held, TRUE AS p95_held FROM ("
+          "SELECT date_trunc('day', ts) AS bucket, segment, list(amount ORDER BY amount) AS vs, count(*) AS n "
+          "FROM inf_binary WHERE amount IS NOT NULL GROUP BY ALL)")
 def _(spark, d):
-    rows = S.sketch_points(views.binary(spark, d), ts="ts", value="amount", metric_name="amount", model_id=P.MODEL,
-                           dimensions=["segment"])
-    merged = rows.groupBy(F.date_trunc("day", "timestamp").alias("bucket"), S.dimension("segment").alias("segment")).agg(
+    rows = views.binary(spark, d)
+    points = S.sketch_points(rows, ts="ts", value="amount", metric_name="amount", model_id=P.MODEL, dimensions=["segment"])
+    merged = points.groupBy(F.date_trunc("day", "timestamp").alias("bucket"), S.dimension("segment").alias("segment")).agg(
         sketches.merge("value").alias("s"))
-    return merged.select("bucket", "segment", sketches.count("s").alias("n"),
-                         sketches.quantile("s", 0.5).alias("median"), sketches.quantile("s", 0.95).alias("p95"))
+    daily = rows.select(F.date_trunc("day", "ts").alias("bucket"), "segment", "amount")
+    return sketch_checks.held_quantiles(daily, merged, ["bucket", "segment"], "amount", ANSWERS)
+
 
+SPLITS = [i / 20 for i in range(1, 20)]
 
-@register("sketch_distribution", "K6 K8 X11", "bin:6 estimated_count:2")
+
+@register("sketch_distribution", "K6 K8 X11", "bin:6 n:i exact_count:i held:b",
+          "SELECT pos / 20.0 AS bin, (SELECT count(score) FROM inf_binary) AS n, coalesce(c, 0) AS exact_count, TRUE AS held "
+          "FROM (SELECT unnest(generate_series(1, 20)) AS pos) LEFT JOIN (SELECT len(list_filter("
+          f"[{', '.join(f'{x!r}::DOUBLE' for x in SPLITS)}], lambda x: x < score)) + 1 AS pos, count(*) AS c "
+          "FROM inf_binary WHERE score IS NOT NULL GROUP BY 1) USING (pos)")
 def _(spark, d):
-    rows = S.sketch_points(views.binary(spark, d), ts="ts", value="score", metric_name="score", model_id=P.MODEL)
-    points = [i / 20 for i in range(1, 20)]
-    merged = rows.agg(sketches.merge("value").alias("s"))
-    table = merged.select(sketches.count("s").alias("n"), F.posexplode(sketches.pmf("s", points)).alias("pos", "mass"))
-    return table.select(((F.col("pos") + 1) / 20.0).alias("bin"), (F.col("mass") * F.col("n")).alias("estimated_count"))
+    rows = views.binary(spark, d)
+    points = S.sketch_points(rows, ts="ts", value="score", metric_name="score", model_id=P.MODEL)
+    table = sketch_checks.mass_table(rows, points.agg(sketches.merge("value").alias("s")), "score", SPLITS)
+    return table.withColumn("bin", (F.col("pos") + 1) / 20.0)
 
 
 @register("log_loss_on_sample", "L3 L2 X4", "row_id:i score:6 label:i sample_log_loss:6",

@@ -19,7 +19,8 @@ def merge(sketch: Column | str) -> Column:
 
 
 def quantile(sketch: Column | str, q: float) -> Column:
-    return F.kll_sketch_get_quantile_double(as_col(sketch), F.lit(float(q)))
+    """NULL for a sketch without values."""
+    return F.when(count(sketch) > 0, F.kll_sketch_get_quantile_double(as_col(sketch), F.lit(float(q))))
 
 
 def count(sketch: Column | str) -> Column:

@@ -161,6 +161,54 @@ def test_silhouette_over_many_blocks(spark, as_columns):
             assert r["silhouette_score"] == pytest.approx(np.mean(scores))
 
 
+def test_blocks_meet_once_and_are_copied_to_half(spark):
+    for n in (1, 2, 3, 6, 7):
+        blocks = spark.range(n).select(F.lit("g").alias("group_id"), F.col("id").cast("int").alias("_block"), F.lit(n).alias("_blocks"),
+                                       F.array(F.col("id").cast("string")).alias("ids"), F.array(F.lit("c")).alias("clusters"),
+                                       F.array(F.col("id").cast("double")).alias("features"))
+        pairs = [(r.left_ids[0], r.right_ids[0]) for r in clustering.paired(blocks).collect()]
+        assert sorted(tuple(sorted(p)) for p in pairs) == sorted((str(i), str(j)) for i in range(n) for j in range(i, n))
+        assert max(sum(p[0] == str(i) for p in pairs) for i in range(n)) <= n // 2 + 1
+
+
+def test_wide_vectors_stay_within_their_budget(spark):
+    """768 components, a thousand points: several blocks, and a task's working set far below 200 MB."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    rows = [(day(1), i, i % 3, (rng.normal(i % 3, 3, 768) + 1e4).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "ts timestamp, id long, c int, v array<double>")
+    points = df.select(F.lit("g").alias("group_id"), F.col("id").cast("string").alias("row_id"), F.col("c").cast("string").alias("cluster"),
+                       F.col("v").alias("features"))
+    blocks = clustering.feature_blocks(points, clustering.BLOCK_POINTS)
+    sizes = [len(r.ids) for r in blocks.select("ids").collect()]
+    assert len(sizes) == 3 and max(sizes) * 768 * 8 < 2 * clustering.BLOCK_BYTES
+    pair = clustering.paired(blocks).filter("not same").limit(1).toArrow().to_batches()
+    tracemalloc.start()
+    list(clustering._kernel()(iter(pair)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    out = clustering.silhouette(df, ts="ts", row_id="id", cluster="c", features="v").first()
+    x, c = np.array([r[3] for r in rows]), np.array([r[2] for r in rows])
+    far = np.sqrt(((x[:, None, :64] - x[None, :, :64]) ** 2).sum(-1) + sum(
+        ((x[:, None, k:k + 64] - x[None, :, k:k + 64]) ** 2).sum(-1) for k in range(64, 768, 64)))
+    means = np.stack([far[:, c == k].sum(1) / ((c == k).sum() - (c == k)) for k in range(3)], 1)
+    own = means[np.arange(900), c]
+    other = np.where(np.eye(3, dtype=bool)[c], np.inf, means).min(1)
+    assert out.silhouette_score == pytest.approx(np.mean((other - own) / np.maximum(own, other)), abs=1e-9)
+
+
+def test_equal_and_close_points_keep_their_distances(spark):
+    base = [1e6, -1e6, 5.0]
+    points = [("a", base), ("a", base), ("b", [1e6 + 1e-3, -1e6, 5.0]), ("b", [1e6 + 2e-3, -1e6, 5.0]), ("c", [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(day(1), i, c, v) for i, (c, v) in enumerate(points)], "ts timestamp, id long, c string, v array<double>")
+    for block_points in (1, 2, 100):
+        out = {r.series: r for r in clustering.silhouette(df, ts="ts", row_id="id", cluster="c", features="v", block_points=block_points).collect()}
+        scores = brute_silhouette(points)
+        assert out["a"].cluster_silhouette == pytest.approx(np.mean(scores[:2])) and out["b"].cluster_silhouette == pytest.approx(np.mean(scores[2:4]))
+
+
 def test_trailing_sums_match_a_direct_count(spark):
     rng = random.Random(9)
     rows = [(k, day(1 + rng.randint(0, 20), rng.randint(0, 23)), rng.randint(1, 5)) for k in ("a", "b") for _ in range(80)]
