@@ -12,6 +12,7 @@ from metricloom.functions.timebuckets import bucket_start
 from metricloom.operators import alerts, regression, sketch_checks, timeseries
 from metricloom.catalog import views
 from metricloom.plans import charts, store as S
+from metricloom.session import scratch_path
 
 AS_OF = "2024-01-26 12:00:00"
 DAY_SECONDS = 86400
@@ -42,18 +43,30 @@ def rule_store(spark, d):
 CROSSED = "CASE bound WHEN 'upper' THEN metric_value > threshold ELSE metric_value < threshold END"
 
 
-@register("alert_rules", "E1 E2 J10", "rule_id:s metric_name:s threshold:6 bound:s metric_value:6 fires:b", over(
-    RULE_SOURCES, f"""SELECT *, coalesce({CROSSED}, false) AS fires FROM (
+FIRES = over(RULE_SOURCES, f"""SELECT *, coalesce({CROSSED}, false) AS fires FROM (
   SELECT rule_id, r.metric_name, threshold, bound, CASE WHEN missing_as_zero THEN coalesce(v, 0) ELSE v END AS metric_value
   FROM (SELECT r.*, CASE r.aggregate WHEN 'sum' THEN (SELECT sum(value) FROM latest l WHERE l.metric_name = r.metric_name
       AND timestamp <= TIMESTAMP '{AS_OF}' AND timestamp > TIMESTAMP '{AS_OF}' - to_seconds(window_seconds))
     ELSE (SELECT avg(value) FROM latest l WHERE l.metric_name = r.metric_name
       AND timestamp <= TIMESTAMP '{AS_OF}' AND timestamp > TIMESTAMP '{AS_OF}' - to_seconds(window_seconds)) END AS v
-    FROM {RULES_SQL.replace('rules(', 'r(')}) r)"""))
+    FROM {RULES_SQL.replace('rules(', 'r(')}) r)""")
+FIRES_OUT = "rule_id:s metric_name:s threshold:6 bound:s metric_value:6 fires:b"
+
+
+@register("alert_rules", "E1 E2 J10", FIRES_OUT, FIRES)
 def _(spark, d):
     return alerts.evaluate_rules(rule_store(spark, d), rules(spark), as_of=AS_OF)
 
 
+@register("alert_rules_from_store", "E1 E2 S7 S9", FIRES_OUT, FIRES)
+def _(spark, d):
+    path = scratch_path(spark, "alert-store")
+    points = P.store(spark, d, RULE_SOURCES)
+    for version in (1, 2):
+        S.write_points(points.filter(F.col("metric_version") == version).drop("metric_version"), path, version=version)
+    return alerts.evaluate_stored(S.read_store(spark, path), [alerts.Rule(*r) for r in RULES], as_of=AS_OF)
+
+
 @register("alert_rules_over_time", "E1", "rule_id:s metric_name:s period:t threshold:6 bound:s metric_value:6 fires:b", over(
     RULE_SOURCES, f"""SELECT *, coalesce({CROSSED}, false) AS fires FROM (
   SELECT rule_id, metric_name, {DAY} AS period, threshold, bound,

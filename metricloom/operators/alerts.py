@@ -3,17 +3,23 @@
 Rules are rows, so all rules are evaluated in one join instead of one query each:
 ``rule_id, metric_name, aggregate ('avg'|'sum'), threshold, bound ('upper'|'lower'),
 window_seconds, missing_as_zero``.
+
+``Rule`` objects are compiled to filters of the scan first: metric folders, years and time bounds are literals, so
+only the newest stretch of the named metrics is read, however long the history is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import astuple, dataclass
+from typing import Literal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from metricloom.functions import sketches
 from metricloom.functions.timebuckets import bucket_start, width_seconds
+from metricloom.plans.store import latest_version
 
 RULE_SCHEMA = (
     "rule_id string, metric_name string, aggregate string, threshold double, bound string, "
@@ -25,6 +31,65 @@ EVIDENCE_COLUMNS = (
 )
 
 
+#: Rules that one evaluation compiles; their literals travel in the plan.
+MOST_RULES = 10_000
+
+
+@dataclass(frozen=True)
+class Rule:
+    """One rule; the fields are the columns of ``RULE_SCHEMA``."""
+
+    rule_id: str
+    metric_name: str
+    aggregate: Literal["avg", "sum"]
+    threshold: float
+    bound: Literal["upper", "lower"]
+    window_seconds: int
+    missing_as_zero: bool = False
+
+    def __post_init__(self) -> None:
+        if self.aggregate not in ("avg", "sum") or self.bound not in ("upper", "lower") or self.window_seconds <= 0:
+            raise ValueError(f"not a rule: {self}")
+
+
+def rule_frame(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
+    return spark.createDataFrame([astuple(r) for r in rules], RULE_SCHEMA)
+
+
+def within(store: DataFrame, as_of, seconds: int) -> Column:
+    """(as_of - seconds, as_of] as bounds of the scan; years are bounded too if the store has them as folders."""
+    now = F.lit(as_of).cast("timestamp")
+    first = F.timestamp_micros(F.unix_micros(now) - seconds * 1_000_000)
+    inside = (F.col("timestamp") > first) & (F.col("timestamp") <= now)
+    return inside & F.col("year").between(F.year(first), F.year(now)) if "year" in store.columns else inside
+
+
+def read_for_rules(store: DataFrame, rules: Sequence[Rule], *, as_of) -> DataFrame:
+    """The rows of ``store``, all versions, that some rule looks at.
+
+    Rules of one window length share one condition. The widest window and the names of all metrics stand beside the
+    conditions, so that folders are pruned by simple filters.
+    """
+    if len(rules) > MOST_RULES:
+        raise ValueError(f"{len(rules)} rules are more than {MOST_RULES}; evaluate them in parts")
+    if not rules:
+        return store.filter(F.lit(False))
+    names: dict[int, list[str]] = {}
+    for r in rules:
+        names.setdefault(r.window_seconds, []).append(r.metric_name)
+    each = F.lit(False)
+    for seconds, metrics in sorted(names.items()):
+        each = each | (F.col("metric_name").isin(*sorted(set(metrics))) & within(store, as_of, seconds))
+    widest = F.col("metric_name").isin(*sorted({r.metric_name for r in rules})) & within(store, as_of, max(names))
+    return store.filter(widest).filter(each)
+
+
+def evaluate_stored(store: DataFrame, rules: Sequence[Rule], *, as_of) -> DataFrame:
+    """``evaluate_rules`` over the newest versions of a stored store, reading what the rules need."""
+    points = latest_version(read_for_rules(store, rules, as_of=as_of))
+    return evaluate_rules(points, rule_frame(store.sparkSession, rules), as_of=as_of)
+
+
 def violated(value: Column, threshold: Column, bound: Column) -> Column:
     """Past the threshold in the direction of the bound; NULL when there is no value."""
     return F.when(bound == "upper", value > threshold).otherwise(value < threshold)
@@ -154,13 +219,10 @@ def rising_trend(points: DataFrame, *, bucket: str, value: str, periods: int = 7
 def median_shift(sketch_store: DataFrame, *, metric_name: str, as_of, recent: str = "1 day",
                  baseline: str = "30 days", limit: float = 0.15) -> DataFrame:
     """Sketch median of the newest period against the median of the baseline before it."""
-    now = F.unix_seconds(F.lit(as_of).cast("timestamp"))
-    at = F.unix_seconds("timestamp")
-    start = now - width_seconds(recent)
-    rows = sketch_store.filter((F.col("metric_name") == metric_name) & (at <= now))
-    is_recent = at > start
-    is_base = (at <= start) & (at > start - width_seconds(baseline))
-    merged = rows.filter(is_recent | is_base).groupBy(is_recent.alias("recent")).agg(
+    newest = width_seconds(recent)
+    rows = sketch_store.filter(F.col("metric_name") == metric_name).filter(within(sketch_store, as_of, newest + width_seconds(baseline)))
+    is_recent = F.col("timestamp") > F.timestamp_micros(F.unix_micros(F.lit(as_of).cast("timestamp")) - newest * 1_000_000)
+    merged = rows.groupBy(is_recent.alias("recent")).agg(
         sketches.quantile(sketches.merge("value"), 0.5).alias("median")
     )
     medians = merged.agg(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricloom.functions.labels import (
@@ -59,19 +59,28 @@ def class_count(df: DataFrame, *, ts: str, labels: str, bucket: str = "1 day",
     )
 
 
+def per_inference(df: DataFrame, *, ts: str, row_id: str, labels: dict[str, str], bucket: str, group_by: Sequence[str]) -> DataFrame:
+    """One row per bucket, segment and inference: ``_id`` and, for each name, the distinct label sets that its rows hold.
+
+    This is the only shuffle of inferences; whatever is counted below it is unfolded after the shuffle and summed
+    before the next one.
+    """
+    sets = {name: F.array_sort(named_labels(column)) for name, column in labels.items()}
+    rows = bucketed(df, ts, bucket, {"_id": F.col(row_id), **sets}, group_by, name="ts")
+    return rows.groupBy("ts", *group_by, "_id").agg(*[F.collect_set(name).alias(name) for name in labels])
+
+
 def coverage_ratio(df: DataFrame, *, ts: str, row_id: str, labels: str, bucket: str = "1 day",
                    group_by: Sequence[str] = ()) -> DataFrame:
     """Share of the bucket's distinct inferences that carry the label."""
     keys = ["ts", *group_by]
-    rows = bucketed(df, ts, bucket, {"_id": F.col(row_id), "_l": named_labels(labels)}, group_by, name="ts")
-    totals = rows.groupBy(*keys).agg(F.count_distinct("_id").alias("_n"))
-    counts = (
-        rows.select(*keys, "_id", F.explode("_l").alias("series"))
-        .groupBy(*keys, "series")
-        .agg(F.count_distinct("_id").alias("_label_n"))
-    )
-    return _join_keys(counts, totals, keys).select(
-        *keys, "series", ratio_or_null("_label_n", "_n").alias("coverage_ratio")
+    inferences = per_inference(df, ts=ts, row_id=row_id, labels={"_l": labels}, bucket=bucket, group_by=group_by)
+    # A NULL series stands for the inference itself.
+    series = F.concat(F.array_distinct(F.flatten("_l")), F.array(F.lit(None).cast("string")))
+    counts = inferences.select(*keys, "_id", F.explode(series).alias("series")).groupBy(*keys, "series").agg(F.count("_id").alias("_n"))
+    total = F.max(F.when(F.col("series").isNull(), F.col("_n"))).over(Window.partitionBy(*keys))
+    return counts.withColumn("_total", total).filter("series is not null").select(
+        *keys, "series", ratio_or_null("_n", "_total").alias("coverage_ratio")
     ).orderBy(*keys, "series")
 
 
@@ -143,26 +152,21 @@ def average_confidence(df: DataFrame, *, ts: str, row_id: str, labels: str, conf
 
 def label_cooccurrence(df: DataFrame, *, ts: str, row_id: str, predicted: str, actual: str, bucket: str = "1 day",
                        group_by: Sequence[str] = ()) -> DataFrame:
-    """Inferences per unordered label pair, predicted and actual, from one scan."""
+    """Inferences per unordered label pair, predicted and actual, from one scan; a pair lies in one row of the inference."""
     keys = ["ts", *group_by]
-    rows = bucketed(
-        df, ts, bucket, {"_id": F.col(row_id), "_p": label_pairs(predicted), "_a": label_pairs(actual)},
-        group_by, name="ts",
-    )
-    pairs = rows.select(*keys, "_id", "_p", "_a", F.explode(F.array_union("_p", "_a")).alias("_pair"))
-    flags = pairs.select(
-        *keys, "_id", "_pair.label_1", "_pair.label_2",
-        F.array_contains("_p", F.col("_pair")).cast("int").alias("_in_p"),
-        F.array_contains("_a", F.col("_pair")).cast("int").alias("_in_a"),
-    )
-    per_inference = flags.groupBy(*keys, "label_1", "label_2", "_id").agg(
-        F.max("_in_p").alias("_in_p"), F.max("_in_a").alias("_in_a")
-    )
+    inferences = per_inference(df, ts=ts, row_id=row_id, labels={"_p": predicted, "_a": actual}, bucket=bucket, group_by=group_by)
+
+    def side(sets: str, first: int) -> Column:
+        pairs = F.array_distinct(F.flatten(F.transform(sets, label_pairs)))
+        return F.transform(pairs, lambda p: F.struct(p["label_1"].alias("label_1"), p["label_2"].alias("label_2"),
+                                                     F.lit(first).alias("_in_p"), F.lit(1 - first).alias("_in_a")))
+
+    pairs = inferences.select(*keys, F.explode(F.concat(side("_p", 1), side("_a", 0))).alias("_pair"))
     return (
-        per_inference.groupBy(*keys, "label_1", "label_2")
+        pairs.groupBy(*keys, F.col("_pair.label_1").alias("label_1"), F.col("_pair.label_2").alias("label_2"))
         .agg(
-            F.sum("_in_p").cast("double").alias("pred_cooccurrence_count"),
-            F.sum("_in_a").cast("double").alias("gt_cooccurrence_count"),
+            F.sum("_pair._in_p").cast("double").alias("pred_cooccurrence_count"),
+            F.sum("_pair._in_a").cast("double").alias("gt_cooccurrence_count"),
         )
         .orderBy(*keys, "label_1", "label_2")
     )

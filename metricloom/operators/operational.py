@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from metricloom.functions.numeric import ratio_or_null
 from metricloom.functions.timebuckets import bucket_start
 from metricloom.operators.ordered import group_key
+from metricloom.session import written
 
 
 def average_daily_rate(df: DataFrame, *, ts: str, group_by: Sequence[str] = ()) -> DataFrame:
@@ -55,33 +56,43 @@ def points_to_double_odds(df: DataFrame, *, score: str, label: str, steps: int =
                           group_by: Sequence[str] = ()) -> DataFrame:
     """ln 2 over the score's coefficient in a logistic fit on all rows, with a flag that tells whether the fit settled.
 
-    Each of the ``steps`` Newton steps is one aggregation over standardised scores. Classes
+    The rows are read once and collapsed to counts of (group, score), which are written; the at most ``steps`` Newton
+    steps read those. A step is one aggregation over standardised scores and ends in a written table of one row per group,
+    so the planner knows its size: it is broadcast below Spark's limit, and otherwise a hot group's
+    counts are split by the skew join. Steps stop when every fit has settled. Classes
     that a score separates, a single class or a constant score have no finite fit: the slope
     is NULL and ``converged`` false. Rows without a score or a 0/1 label take no part.
     """
     s, y = F.col(score).cast("double"), F.col(label).cast("double")
-    rows = df.filter(s.isNotNull() & ~F.isnan(s) & y.isin(0.0, 1.0)).select(
-        *group_by, group_key(group_by).alias("_key"), s.alias("_s"), y.alias("_y"))
-    fit = rows.groupBy("_key").agg(
-        F.avg("_s").alias("_mean"), F.nullif(F.stddev_pop("_s"), F.lit(0.0)).alias("_sd"),
-        F.ln(F.nullif(F.sum("_y"), F.lit(0.0)) / F.nullif(F.sum(1 - F.col("_y")), F.lit(0.0))).alias("_b0"),
-    ).withColumns({"_b1": F.lit(0.0), "_move": F.lit(None).cast("double")})
+    rows = df.filter(s.isNotNull() & ~F.isnan(s) & y.isin(0.0, 1.0)).select(group_key(group_by).alias("_key"), s.alias("_s"), y.alias("_y"))
+    counts = written(rows.groupBy("_key", "_s").agg(F.sum("_y").alias("_ones"), F.count(F.lit(1)).cast("double").alias("_n")), "odds-counts")
+    ones, n = F.sum("_ones"), F.sum("_n")
+    # Centred on the group's smallest score first: scores of a narrow range far from 0 keep their variance.
+    least = counts.groupBy("_key").agg(F.min("_s").alias("_least"))
+    off = F.col("_s") - F.col("_least")
+    start = counts.join(least, "_key").groupBy("_key").agg(
+        F.any_value("_least").alias("_least"), (F.sum(off * F.col("_n")) / n).alias("_off"), (F.sum(off * off * F.col("_n")) / n).alias("_square"),
+        F.ln(F.nullif(ones, F.lit(0.0)) / F.nullif(n - ones, F.lit(0.0))).alias("_b0"))
+    spread = F.col("_square") - F.col("_off") * F.col("_off")
+    fit = written(start.select(
+        "_key", (F.col("_least") + F.col("_off")).alias("_mean"), F.sqrt(F.when(spread > 0, spread)).alias("_sd"), "_b0",
+        F.lit(0.0).alias("_b1"), F.lit(None).cast("double").alias("_move")), "odds-fit")
     z = (F.col("_s") - F.col("_mean")) / F.col("_sd")
     p = 1 / (1 + F.exp(-(F.col("_b0") + F.col("_b1") * z)))
-    miss, weight = F.col("_y") - p, p * (1 - p)
-    kept = ["_mean", "_sd", "_b0", "_b1"]
+    miss, weight = F.col("_ones") - p * F.col("_n"), p * (1 - p) * F.col("_n")
     for _ in range(steps):
-        # One row per group: Spark broadcasts it below its size limit and splits a hot group otherwise.
-        sums = rows.select("_key", "_s", "_y").join(fit.drop("_move"), "_key").groupBy("_key").agg(
-            *[F.any_value(c).alias(c) for c in kept],
+        sums = counts.join(fit.drop("_move"), "_key").groupBy("_key").agg(
+            *[F.any_value(c).alias(c) for c in ("_mean", "_sd", "_b0", "_b1")],
             F.sum(miss).alias("_g0"), F.sum(miss * z).alias("_g1"),
             F.sum(weight).alias("_h00"), F.sum(weight * z).alias("_h01"), F.sum(weight * z * z).alias("_h11"),
         )
         det = F.nullif(F.col("_h00") * F.col("_h11") - F.col("_h01") * F.col("_h01"), F.lit(0.0))
         d0 = (F.col("_h11") * F.col("_g0") - F.col("_h01") * F.col("_g1")) / det
         d1 = (F.col("_h00") * F.col("_g1") - F.col("_h01") * F.col("_g0")) / det
-        fit = sums.select("_key", "_mean", "_sd", (F.col("_b0") + d0).alias("_b0"), (F.col("_b1") + d1).alias("_b1"),
-                          F.greatest(F.abs(d0), F.abs(d1)).alias("_move"))
+        fit = written(sums.select("_key", "_mean", "_sd", (F.col("_b0") + d0).alias("_b0"), (F.col("_b1") + d1).alias("_b1"),
+                                  F.greatest(F.abs(d0), F.abs(d1)).alias("_move")), "odds-fit")
+        if fit.filter("_move >= 1e-10").isEmpty():
+            break
     settled = F.coalesce(F.col("_move") < 1e-8, F.lit(False))
     slope = F.when(settled, F.col("_b1") / F.col("_sd"))
     keys = [F.col(f"_key.{c}").alias(c) for c in group_by]

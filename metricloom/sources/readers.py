@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
@@ -86,20 +88,52 @@ def read_window(spark: SparkSession, root: str, prefix: str, suffix: str, *, sta
     """
     if file_type not in LOCAL_TYPES:
         raise ValueError(f"file type must be one of {LOCAL_TYPES}")
-    paths = [f"{root.rstrip('/')}/{p}" for p in expand_prefix(prefix, start, end, zone)]
-    fs_paths = [p for p in paths if _exists(spark, p)]
+    fs_paths = existing(spark, root, prefix, expand_prefix(prefix, start, end, zone))
     if not fs_paths:
         return spark.createDataFrame([], schema)
     opts = {"multiLine": "true"} if file_type == "json" else {"header": "true"} if file_type == "csv" else {}
     opts = {**opts, "recursiveFileLookup": "true", **(options or {})}
-    df = spark.read.schema(schema).options(**opts).format(file_type).load(fs_paths)
+    df = spark.read.schema(schema).options(**opts).format(file_type).load([escaped(p) for p in fs_paths])
     return df.filter(F.col("_metadata.file_name").rlike(f"^(?:{suffix})$"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def escaped(path: str) -> str:
+    """The path as a glob that matches it alone."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def prefix_glob(prefix: str, folders: Sequence[str]) -> str:
+    """One glob that matches all ``folders``: whole folder names that they share stay, time fields become wildcards."""
+    shared = os.path.commonprefix([f.split("/") for f in folders])
+
+    def field(token: str) -> str:
+        if token == "%%":
+            return "%"
+        return "[0-9]" * {"%Y": 4, "%j": 3}.get(token, 2) if token in ("%Y", "%j", "%m", "%d", "%H", "%M", "%S", "%y") else "*"
+
+    open_ = ["".join(field(x) if x.startswith("%") else escaped(x) for x in re.split(r"(%.)", part)) for part in prefix.split("/")[len(shared):]]
+    return "/".join([*map(escaped, shared), *open_])
+
+
+def existing(spark: SparkSession, root: str, prefix: str, folders: Sequence[str]) -> list[str]:
+    """Those of the expanded folders that exist, in their order, from one listing below what they have in common."""
+    if not folders:
+        return []
+    root = root.rstrip("/")
+    found = list_folders(spark, f"{escaped(root)}/{prefix_glob(prefix, folders)}")
+    # Listed paths carry the scheme, and the root may do without it: they are compared below the root.
+    depth = prefix.rstrip("/").count("/") + 1
+    there = {"/".join(p.rstrip("/").split("/")[-depth:]) for p in found}
+    return [f"{root}/{f}" for f in folders if f.rstrip("/") in there]
+
+
+def list_folders(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that a glob matches, listed by the file system and handed over in one piece."""
     jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    target = jvm.org.apache.hadoop.fs.Path(pattern)
+    found = jvm.org.apache.spark.deploy.SparkHadoopUtil.get().globPath(target.getFileSystem(spark._jsc.hadoopConfiguration()), target)
+    joined = found.mkString("\n")
+    return joined.split("\n") if joined else []
 
 
 def inspect_schema(spark: SparkSession, path: str, *, file_type: str = "parquet", sampling: float = 0.1,

@@ -2,8 +2,12 @@ from __future__ import annotations
 
 import csv
 import glob
+from datetime import datetime
+
+import pytest
 
 from metricloom.operators import alerts
+from metricloom.plans import store as S
 from metricloom.sources.writers import write_evidence_csv
 from tests.conftest import day
 
@@ -74,3 +78,54 @@ def test_audit_rows_are_text_with_the_earliest_alert(spark, tmp_path):
     bare = alerts.audit_evidence(store, ruleset, metric_name="y", model_id="m", start="2024-01-01", end="2024-01-02",
                                  generated_at="now").collect()
     assert len(bare) == 2 and bare[0]["threshold"] == "" and bare[0]["alert_fired"] == ""
+
+
+@pytest.fixture
+def whole_plans(spark):
+    """Plans that name all their filters."""
+    key = "spark.sql.maxMetadataStringLength"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4000")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_rules_become_filters_of_the_scan(spark, tmp_path, whole_plans):
+    """Only the folders of the rules' metrics and years are read, and row groups only inside the widest window."""
+    path = str(tmp_path / "store")
+    rows = [("m", name, datetime(year, 6, d), float(year % 100 + d), {}) for name in ("a", "b", "c") for year in (2021, 2022, 2023) for d in (1, 2, 3)]
+    points = spark.createDataFrame(rows, "model_id string, metric_name string, timestamp timestamp, value double, dimensions map<string,string>")
+    S.write_points(points, path, version=0)
+    rules = [alerts.Rule("a-high", "a", "avg", 25.0, "upper", 2 * 86400), alerts.Rule("b-low", "b", "sum", 100.0, "lower", 3600, True),
+             alerts.Rule("none", "z", "sum", 1.0, "lower", 60, True)]
+    as_of = "2023-06-03 00:00:00"
+    plan = alerts.read_for_rules(S.read_store(spark, path), rules, as_of=as_of)._jdf.queryExecution().executedPlan().toString()
+    folders, pushed = plan[plan.index("PartitionFilters"):plan.index("PushedFilters")], plan[plan.index("PushedFilters"):]
+    assert "metric_name" in folders and "year" in folders
+    assert "GreaterThan(timestamp,2023-06-01" in pushed and "LessThanOrEqual(timestamp,2023-06-03" in pushed
+    store = S.read_store(spark, path)
+    got = {r.rule_id: (r.metric_value, r.fires) for r in alerts.evaluate_stored(store, rules, as_of=as_of).collect()}
+    whole = alerts.evaluate_rules(S.latest_version(store), alerts.rule_frame(spark, rules), as_of=as_of)
+    assert got == {r.rule_id: (r.metric_value, r.fires) for r in whole.collect()}
+    assert got == {"a-high": (25.5, True), "b-low": (26.0, True), "none": (0.0, True)}
+    # The joins of the newest versions keep the pruning on both sides.
+    both = alerts.evaluate_stored(store, rules, as_of=as_of)._jdf.queryExecution().executedPlan().toString()
+    scans = both.count("FileScan parquet")
+    assert scans >= 2 and both.count("PushedFilters: [IsNotNull(timestamp), GreaterThan(timestamp,2023-06-01") == scans
+    assert alerts.evaluate_stored(store, [], as_of=as_of).count() == 0
+    for bad in (("x", "a", "median", 1.0, "upper", 60), ("x", "a", "avg", 1.0, "above", 60), ("x", "a", "avg", 1.0, "upper", 0)):
+        with pytest.raises(ValueError):
+            alerts.Rule(*bad)
+    with pytest.raises(ValueError):
+        alerts.read_for_rules(store, rules * 4000, as_of=as_of)
+
+
+def test_median_shift_reads_its_window_only(spark, tmp_path, whole_plans):
+    path = str(tmp_path / "sketches")
+    rows = spark.createDataFrame([(datetime(2023, 6, d), float(v)) for d in range(1, 11) for v in range(20 if d < 10 else 40)], "ts timestamp, v double")
+    S.write_points(S.sketch_points(rows, ts="ts", value="v", metric_name="v", model_id="m"), path, version=0)
+    out = alerts.median_shift(S.read_store(spark, path, sketch=True), metric_name="v", as_of="2023-06-10 00:00:00", baseline="5 days")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(timestamp,2023-06-04" in plan and "year" in plan[plan.index("PartitionFilters"):plan.index("PushedFilters")]
+    row = out.first()
+    assert (row.recent_median, row.baseline_median, row.fires) == (19.0, 9.0, True)

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,3 +219,62 @@ def test_points_to_double_odds_fits_one_class_score_ranges(spark):
     assert got["mixed"]["points_to_double_odds"] == pytest.approx(math.log(2) / b1)
     for g in ("split", "one class", "constant"):
         assert not got[g]["converged"] and got[g]["log_odds_slope"] is None
+
+
+def test_odds_fit_reads_its_input_once_and_a_hot_group(spark, tmp_path):
+    """Nine tenths of the rows in one group, few distinct scores: steps run on counts, each group has its own fit."""
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 7)).alias("g"),
+        (1e6 + F.pmod(F.xxhash64("id"), F.lit(40)) / 10).alias("score"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(45)) < F.pmod(F.xxhash64("id"), F.lit(40)) + 3).cast("int").alias("label"))
+    path = str(tmp_path / "rows")
+    rows.write.parquet(path)
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    counted = spark.read.parquet(path).mapInArrow(seen, "g string, score double, label int")
+    got = {r.g: r for r in operational.points_to_double_odds(counted, score="score", label="label", group_by=["g"]).collect()}
+    assert reads.value == 20_000 and len(got) == 8 and all(r.converged for r in got.values())
+    for g in ("hot", "g0"):
+        x, y = np.array([(r.score - 1e6, r.label) for r in rows.filter(F.col("g") == g).collect()]).T
+        b = np.zeros(2)
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-(b[0] + b[1] * x)))
+            d = np.stack([np.ones_like(x), x])
+            b = b + np.linalg.solve((d * (p * (1 - p))) @ d.T, d @ (y - p))
+        assert got[g].log_odds_slope == pytest.approx(b[1], rel=1e-6)
+
+
+def test_pairs_and_coverage_shuffle_one_row_per_inference(spark):
+    """Fifty labels a row: what leaves the tasks before the inferences meet is one row for each, then sums."""
+    rng = random.Random(3)
+    names = [f"l{i}" for i in range(50)]
+    rows = []
+    for i in range(60):
+        for _ in range(rng.choice([1, 1, 2])):
+            rows.append((day(1 + i % 2), i if i % 9 else None, rng.sample(names, 50 if i < 5 else rng.randrange(6)) + [None, ""], rng.sample(names, rng.randrange(4))))
+    df = spark.createDataFrame(rows, "ts timestamp, id long, p array<string>, a array<string>").repartition(3)
+    pairs, with_pair = {}, {}
+    ids = {}
+    for ts, i, p, a in rows:
+        ids.setdefault(ts, set()).update({i} - {None})
+        for name, labels in (("p", p), ("a", a)):
+            real = sorted({x for x in labels if x})
+            for x in range(len(real)):
+                if name == "p" and i is not None:
+                    with_pair.setdefault((ts, real[x]), set()).add(i)
+                for y in range(x + 1, len(real)):
+                    pairs.setdefault((ts, real[x], real[y]), {"p": set(), "a": set()})[name].add(i)
+    out = multilabel.label_cooccurrence(df, ts="ts", row_id="id", predicted="p", actual="a")
+    assert {(r.ts, r.label_1, r.label_2): (r.pred_cooccurrence_count, r.gt_cooccurrence_count) for r in out.collect()} == {
+        k: (len(v["p"]), len(v["a"])) for k, v in pairs.items()}
+    cover = multilabel.coverage_ratio(df, ts="ts", row_id="id", labels="p")
+    assert {(r.ts, r.series): pytest.approx(r.coverage_ratio) for r in cover.collect() if r.coverage_ratio} == {
+        k: len(v) / len(ids[k[0]]) for k, v in with_pair.items()}
+    for frame, unfolded in ((out, "label_1"), (cover, "series")):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert any("_id#" in line for line in exchanges) and not any("_id#" in line and unfolded in line for line in exchanges)

@@ -64,6 +64,23 @@ def test_window_reads_only_its_folders(spark, tmp_path):
     assert none.count() == 0
 
 
+def test_window_of_a_year_by_minutes_is_listed_once(spark, tmp_path, monkeypatch):
+    """Half a million possible folders, four that exist: one listing, whatever the window's length."""
+    calls = []
+    listed = readers.list_folders
+    monkeypatch.setattr(readers, "list_folders", lambda s, p: calls.append(p) or listed(s, p))
+    for n, name in enumerate(("year=2024/m-01/01/00/00", "year=2024/m-07/31/23/59", "year=2024/m-12/31/23/58", "year=2025/m-01/01/00/00")):
+        folder = tmp_path / "da{t}a" / name
+        folder.mkdir(parents=True)
+        (folder / "rows.json").write_text(json.dumps([{"id": n}]))
+    df = readers.read_window(spark, str(tmp_path), "da{t}a/year=%Y/m-%m/%d/%H/%M", r".*\.json", start=day(1),
+                             end=datetime(2025, 1, 1), schema="id int", file_type="json")
+    assert sorted(r["id"] for r in df.collect()) == [0, 1, 2] and len(calls) == 1
+    assert calls[0].endswith("/da\\{t\\}a/year=2024/m-[0-9][0-9]/[0-9][0-9]/[0-9][0-9]/[0-9][0-9]")
+    assert readers.existing(spark, str(tmp_path), "x", []) == []
+    assert readers.prefix_glob("a/%b-%d", ["a/Jan-01", "a/Feb-01"]) == "a/*-[0-9][0-9]"
+
+
 def test_inspection_and_tags(spark, tmp_path):
     (tmp_path / "x.csv").write_text("ts,score\n2024-01-01,0.5\n2024-01-02,0.7\n")
     schema = readers.inspect_schema(spark, str(tmp_path), file_type="csv", sampling=1.0)
