@@ -1,16 +1,20 @@
 """The long metric store: one row per (model, metric, timestamp, version, dimensions).
 
-Layout: ``<path>/run_id=R/metric_version=N/metric_name=M/year=Y``, sorted by time within a
+Layout: ``<path>/run_id=NNNNNNNNNNNN-R/metric_version=N/metric_name=M/year=Y``, sorted by time within a
 file. A run owns its folder and overwrites only that, so a retried run or replayed
 micro-batch leaves no duplicates and writers that choose the same version number keep
-each other's points. Of equal versions the larger run id is the newer one. Filters on metric and year prune
+each other's points. Filters on metric and year prune
 folders and the time filter prunes row groups. Points are already aggregated, so
 folders by day would hold a handful of rows each.
+
+Every run first appends a record to the store's commit log (``commits.py``). Its place there, which no two runs
+share, begins the folder's name. Of points with equal versions those of the later record are the newer ones, and a
+version that nobody has chosen comes from the log, so neither depends on a clock or a random id. ``compact`` rewrites what is
+still the newest and deletes the folders of earlier runs.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -21,6 +25,7 @@ from pyspark.sql import functions as F
 
 from metricloom.functions import sketches
 from metricloom.functions.timebuckets import bucket_start
+from metricloom.plans import commits
 
 POINT_KEY = ("model_id", "metric_name", "timestamp")
 NUMERIC_SCHEMA = (
@@ -76,21 +81,26 @@ def sketch_points(df: DataFrame, *, ts: str, value: str, metric_name: str, model
     )
 
 
-def write_points(points: DataFrame, path: str, *, version: int, run_id: str | None = None) -> None:
-    """Write one run's rows as one version, in place of what the same run wrote before.
+def write_points(points: DataFrame, path: str, *, version: int | None = None, run_id: str | None = None) -> int:
+    """Write one run's rows as one version, in place of what the same run wrote before; returns the version.
 
-    Without ``run_id`` the run gets a new one. Rebalancing splits a large metric-year over several files.
+    Without ``run_id`` the run gets a new one, without ``version`` the next one that no other run has. A run that is
+    repeated keeps its record and with it the version and its place among equal versions.
     """
-    run = run_id or uuid.uuid4().hex
-    if not re.fullmatch(r"[\w.-]+", run):
-        raise ValueError(f"run_id {run!r} is not a folder name")
+    record = commits.reserve(points.sparkSession, path, run_id or uuid.uuid4().hex, version)
+    _write(points.withColumn("metric_version", F.lit(record.version)), path, record)
+    return record.version
+
+
+def _write(points: DataFrame, path: str, record: commits.Record) -> None:
+    """Rebalancing splits a large metric-year over several files."""
     (
-        points.withColumns({"metric_version": F.lit(int(version)), "year": F.year("timestamp")})
+        points.withColumn("year", F.year("timestamp"))
         .hint("rebalance", "metric_name", "year")
         .sortWithinPartitions("metric_name", "year", "timestamp")
         .write.mode("overwrite")
         .partitionBy("metric_version", "metric_name", "year")
-        .parquet(f"{path.rstrip('/')}/run_id={run}")
+        .parquet(f"{path.rstrip('/')}/run_id={record.folder}")
     )
 
 
@@ -99,12 +109,25 @@ def read_store(spark: SparkSession, path: str, *, sketch: bool = False) -> DataF
 
 
 def next_version(spark: SparkSession, path: str) -> int:
-    """One more than the newest version of all runs; the version is a folder, so this reads no data pages."""
-    try:
-        newest = read_store(spark, path).agg(F.max("metric_version")).first()[0]
-    except AnalysisException:
+    """One more than the newest version in the commit log; a writer that goes by it may still meet another one there."""
+    return commits.newest_version(spark, path) + 1
+
+
+def compact(spark: SparkSession, path: str, *, sketch: bool = False) -> int:
+    """Rewrite the newest points of all runs so far as one run and delete the folders of those runs; returns how many went.
+
+    Points keep their versions. Runs that begin meanwhile come later in the log and stay. Until the deletion both
+    copies are there, and the rewritten one counts as it is the later of the two. Readers that listed
+    the store before it must be done: call it when none is open.
+    """
+    record = commits.reserve(spark, path, f"compact-{uuid.uuid4().hex}", None)
+    before = [f for f in commits.run_folders(spark, path) if f < record.folder]
+    if not before:
         return 0
-    return 0 if newest is None else int(newest) + 1
+    points = read_store(spark, path, sketch=sketch).filter(F.col("run_id") < record.folder)
+    _write(latest_version(points).drop("run_id", "year", "max_version_for_timestamp"), path, record)
+    commits.delete_runs(spark, path, before)
+    return len(before)
 
 
 def select_points(store: DataFrame, names: Sequence[str] | None = None, *, start=None, end=None) -> DataFrame:
@@ -122,6 +145,8 @@ def select_points(store: DataFrame, names: Sequence[str] | None = None, *, start
 def latest_version(store: DataFrame) -> DataFrame:
     """All rows of the newest version of each (model, metric, timestamp), whatever their dimensions.
 
+    Of equal versions the run that comes later in the commit log counts: its place begins the run id.
+
     The newest versions come from a partial aggregation and are joined back;
     a window would shuffle every row and hold one key's rows in one task.
     """
@@ -149,9 +174,7 @@ def recent_rows(df: DataFrame, *, ts: str, as_of, lookback_seconds: int, width:
 
 def append_recomputed(points: DataFrame, path: str, *, run_id: str | None = None) -> int:
     """Write recomputed points as the next version; returns that version."""
-    version = next_version(points.sparkSession, path)
-    write_points(points, path, version=version, run_id=run_id)
-    return version
+    return write_points(points, path, run_id=run_id)
 
 
 def with_unchanged_dimensions(points: DataFrame, path: str, *, run_id: str, names: Sequence[str],
@@ -172,7 +195,7 @@ def with_unchanged_dimensions(points: DataFrame, path: str, *, run_id: str, name
         return points
     same = F.to_json("dimensions").alias("_dims")
     touched = points.select(*POINT_KEY).distinct()
-    before = select_points(stored, names, start=first, end=last).filter(F.col("run_id") != run_id)
+    before = select_points(stored, names, start=first, end=last).filter(~F.col("run_id").endswith(f"-{run_id}"))
     older = latest_version(before.join(touched, list(POINT_KEY), "left_semi")).select(*points.columns, same)
     changed = points.select(*POINT_KEY, same).distinct()
     kept = older.join(changed, [*POINT_KEY, "_dims"], "left_anti").drop("_dims")

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from metricloom.functions import sketches
 from metricloom.functions.timebuckets import window_args
-from metricloom.plans.store import ReportedMetric, dimension_map, next_version, to_long, with_unchanged_dimensions, write_points
+from metricloom.plans.store import ReportedMetric, dimension_map, to_long, with_unchanged_dimensions, write_points
 
 LATENESS = "2 hours"
 
@@ -82,15 +82,13 @@ def query_id(spark: SparkSession, checkpoint: str) -> str:
 def _write_version(points: DataFrame, path: str, run_id: str, names: Sequence[str], has_dimensions: bool, *,
                    sketch: bool = False) -> None:
     """One micro-batch as the store's next version; with dimensions the unchanged ones are carried forward."""
-    version = next_version(points.sparkSession, path)
     if not has_dimensions:
-        write_points(points, path, version=version, run_id=run_id)
+        write_points(points, path, run_id=run_id)
         return
     # Used several times below; without this every use would run the stateful plan again.
     points = points.persist()
     try:
-        whole = with_unchanged_dimensions(points, path, run_id=run_id, names=names, sketch=sketch)
-        write_points(whole, path, version=version, run_id=run_id)
+        write_points(with_unchanged_dimensions(points, path, run_id=run_id, names=names, sketch=sketch), path, run_id=run_id)
     finally:
         points.unpersist()
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from metricloom.functions import sketches
 from metricloom.operators import binary, timeseries
-from metricloom.plans import charts, store as S
+from metricloom.plans import charts, commits, store as S
 from metricloom.plans.definitions import Binding, DefinitionRegistry, MetricDefinition, rebind, sql_metric
 from metricloom.streaming import metrics as stream_metrics
 from tests.conftest import day
@@ -176,3 +176,61 @@ def test_sketch_points_merge_to_all_rows(spark):
     fine = S.sketch_points(df, ts="ts", value="v", metric_name="v", model_id="m", dimensions=["s"])
     assert fine.count() == 20
     assert fine.agg(sketches.count(sketches.merge("value"))).first()[0] == 3000
+
+
+def points_of(spark, rows):
+    return spark.createDataFrame([("m", "x", at, v, {}) for at, v in rows],
+                                 "model_id string, metric_name string, timestamp timestamp, value double, dimensions map<string,string>")
+
+
+def test_writers_that_pick_the_same_number(spark, tmp_path):
+    """Both writers' points are seen, and where they meet the later record wins, whatever the run ids are."""
+    for first, second in (("zzz", "aaa"), ("aaa", "zzz")):
+        path = str(tmp_path / first)
+        chosen = S.next_version(spark, path)
+        assert S.next_version(spark, path) == chosen == 0
+        S.write_points(points_of(spark, [(day(1), 1.0), (day(2), 1.0)]), path, version=chosen, run_id=first)
+        S.write_points(points_of(spark, [(day(2), 2.0), (day(3), 2.0)]), path, version=chosen, run_id=second)
+        seen = {r.timestamp: r.value for r in S.latest_version(S.read_store(spark, path)).collect()}
+        assert seen == {day(1): 1.0, day(2): 2.0, day(3): 2.0}
+        # The first run is repeated: it keeps its place behind the second one.
+        S.write_points(points_of(spark, [(day(1), 5.0), (day(2), 5.0)]), path, version=chosen, run_id=first)
+        assert {r.timestamp: r.value for r in S.latest_version(S.read_store(spark, path)).collect()} == {
+            day(1): 5.0, day(2): 2.0, day(3): 2.0}
+    with pytest.raises(ValueError, match="has version 0"):
+        S.write_points(points_of(spark, [(day(1), 1.0)]), path, version=3, run_id="zzz")
+
+
+def test_concurrent_runs_get_different_versions(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "store")
+    with ThreadPoolExecutor(8) as pool:
+        records = list(pool.map(lambda i: commits.reserve(spark, path, f"run-{i}", None), range(24)))
+    assert sorted(r.number for r in records) == sorted(r.version for r in records) == list(range(24))
+    assert commits.reserve(spark, path, "run-7", None) == records[7] and S.next_version(spark, path) == 24
+    # A chosen version in the past does not set the newest one back.
+    assert commits.reserve(spark, path, "old", 3).newest == 23 and commits.reserve(spark, path, "new", None).version == 24
+
+
+def test_a_lost_writer_does_not_stop_the_log(spark, tmp_path, monkeypatch):
+    path = tmp_path / "store"
+    assert commits.reserve(spark, str(path), "a", 4).number == 0
+    (path / "_commits" / f"{1:012d}").write_text("")
+    monkeypatch.setattr(commits, "LOST_SECONDS", 0.2)
+    record = commits.reserve(spark, str(path), "b", None)
+    assert (record.number, record.version) == (2, 5)
+
+
+def test_compaction_keeps_what_counts(spark, tmp_path):
+    path = str(tmp_path / "store")
+    assert S.compact(spark, path) == 0
+    for n in range(5):
+        S.append_recomputed(points_of(spark, [(day(d), float(10 * n + d)) for d in range(1, 6 - n)]), path)
+    before = {r.timestamp: (r.value, r.metric_version) for r in S.latest_version(S.read_store(spark, path)).collect()}
+    assert S.compact(spark, path) == 5 and len(commits.run_folders(spark, path)) == 1
+    rows = S.read_store(spark, path).collect()
+    assert {r.timestamp: (r.value, r.metric_version) for r in rows} == before and len(rows) == 5
+    # The next run is newer than all that was compacted.
+    version = S.append_recomputed(points_of(spark, [(day(1), -1.0)]), path)
+    assert version > 4 and {r.timestamp: r.value for r in S.latest_version(S.read_store(spark, path)).collect()}[day(1)] == -1.0
