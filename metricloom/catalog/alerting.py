@@ -13,6 +13,7 @@ from metricloom.operators import alerts, regression, sketch_checks, timeseries
 from metricloom.catalog import views
 from metricloom.plans import charts, store as S
 from metricloom.session import scratch_path
+from metricloom.sources import readers, writers
 
 AS_OF = "2024-01-26 12:00:00"
 DAY_SECONDS = 86400
@@ -202,7 +203,7 @@ def with_numeric_value(evidence):
     return evidence.withColumn("metric_value", F.expr("try_cast(metric_value AS double)"))
 
 
-@register("audit_evidence", "E8 S10 J3", EVIDENCE_OUT, over(
+EVIDENCE = over(
     RULE_SOURCES, f"""
 SELECT strftime(day, '%Y-%m-%d') AS date, 'valid_detection_rate' AS metric_name, v AS metric_value, '0.85' AS threshold, '<' AS threshold_operator,
   CASE WHEN v IS NULL THEN '' WHEN v < 0.85 THEN 'false' ELSE 'true' END AS control_pass,
@@ -212,8 +213,10 @@ SELECT strftime(day, '%Y-%m-%d') AS date, 'valid_detection_rate' AS metric_name,
   '2024-02-01T00:00:00Z' AS evidence_generated_at
 FROM (SELECT unnest(range(TIMESTAMP '2023-12-30', TIMESTAMP '2024-02-03', INTERVAL '1 day')) AS day)
 LEFT JOIN (SELECT {DAY} AS day, avg(value) AS v FROM latest WHERE metric_name = 'valid_detection_rate' GROUP BY 1) USING (day)
-LEFT JOIN ({FIRED.format(6, 'first')}) f ON date_trunc('day', f.alert_timestamp) = day"""))
-def _(spark, d):
+LEFT JOIN ({FIRED.format(6, 'first')}) f ON date_trunc('day', f.alert_timestamp) = day""")
+
+
+def evidence(spark, d):
     rows, ruleset = rule_store(spark, d), rules(spark)
     fired = alerts.evaluate_rules_over_time(rows, ruleset).filter(
         F.col("fires") & (F.col("rule_id") == "accuracy-low")
@@ -228,10 +231,23 @@ def _(spark, d):
         for hours, which in ((9, "second"), (6, "first"))
     ])
     fired = fired.select("rule_id", F.explode(both).alias("_a")).select("rule_id", "_a.*")
-    return with_numeric_value(alerts.audit_evidence(
+    return alerts.audit_evidence(
         rows, ruleset, metric_name="valid_detection_rate", model_id=P.MODEL, start="2023-12-30", end="2024-02-02",
         generated_at="2024-02-01T00:00:00Z", fired=fired,
-    ))
+    )
+
+
+@register("audit_evidence", "E8 J3", EVIDENCE_OUT, EVIDENCE)
+def _(spark, d):
+    return with_numeric_value(evidence(spark, d))
+
+
+@register("audit_evidence_file", "E8 S10", EVIDENCE_OUT, EVIDENCE)
+def _(spark, d):
+    path = scratch_path(spark, "evidence")
+    writers.write_evidence_csv(evidence(spark, d), path)
+    schema = ", ".join(f"{c} string" for c in alerts.EVIDENCE_COLUMNS)
+    return with_numeric_value(readers.read_csv(spark, path, schema).na.fill(""))
 
 
 @register("audit_evidence_without_rules", "E8", EVIDENCE_OUT, over(

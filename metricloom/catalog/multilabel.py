@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from metricloom.catalog import views
 from metricloom.catalog.registry import register
 from metricloom.functions.timebuckets import since
 from metricloom.operators import clustering, multilabel as M
-from metricloom.plans import charts
+from metricloom.plans import charts, label_store as L, store as S
+from metricloom.session import scratch_path
 
 BOTH = dict(ts="ts", predicted="pred", actual="gt")
 SETS = ("(SELECT date_trunc('day', ts) AS day, row_id, segment, pred, coalesce(pred, []) AS p, coalesce(gt, []) AS g, "
@@ -275,3 +278,75 @@ for _which, _name in (("pred", "predicted"), ("gt", "groundtruth")):
           "ORDER BY abs(difference) DESC, label_1, label_2 LIMIT 50")
 def _(spark, d):
     return charts.cooccurrence_difference(recent(frame_pairs)(spark, d))
+
+
+# --- The same listings from a store that is kept day by day: all days once, then the last three again ---
+
+LABEL_COLUMNS = dict(row_id="row_id", predicted="pred", actual="gt", confidences="confidence", model_id="labels")
+
+
+_stores: dict[tuple[str, str], str] = {}
+
+
+def label_store(spark, d):
+    """One store for all listings over the same tables in a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _stores:
+        path = scratch_path(spark, "label-store")
+        rows = views.multilabel(spark, d)
+        L.update(rows, path, ts="ts", **LABEL_COLUMNS)
+        L.update(rows, path, ts="ts", as_of=rows.agg(F.max("ts")).first()[0], lookback_days=2, **LABEL_COLUMNS)
+        _stores[key] = path
+    return S.read_store(spark, _stores[key])
+
+
+def stored(name: str, ids: str, out: str, sql: str):
+    """A listing over the store, compared with the listing over raw rows."""
+    def add(build):
+        register(f"stored_{name}", ids, out, sql)(lambda spark, d: build(label_store(spark, d)))
+        return build
+
+    return add
+
+
+for _name, (_, _sql, _values) in AVERAGES.items():
+    def _listing(store, values=_values):
+        quality = set(values) & {"precision", "recall", "f1_score"}
+        return charts.label_averages(L.quality_frame(store) if quality else L.label_frame(store, list(values)), values)
+
+    stored(_name, "V9 F7 G4", "label:s " + " ".join(f"{v}:6" for v in _values.values()),
+           f"SELECT series AS label, {', '.join(f'avg({c}) AS {v}' for c, v in _values.items())} FROM {recent_sql(_sql)} GROUP BY 1")(_listing)
+
+stored("low_confidence_labels", "V10 A9 L2", "label:s avg_confidence:6 days_measured:i",
+       f"SELECT series AS label, avg(avg_confidence) AS avg_confidence, count(*) AS days_measured FROM {recent_sql(CONFIDENCE)} "
+       "GROUP BY 1 HAVING avg(avg_confidence) < 0.5 ORDER BY 2, 1 LIMIT 20")(
+    lambda store: charts.low_confidence_labels(L.label_frame(store, ["avg_confidence"])))
+stored("confidence_vs_accuracy", "V11 J2", "label:s avg_confidence:6 avg_precision:6",
+       f"SELECT series AS label, avg(avg_confidence) AS avg_confidence, avg(precision) AS avg_precision FROM "
+       f"{recent_sql(CONFIDENCE)} JOIN ({QUALITY}) USING (ts, series) GROUP BY 1")(
+    lambda store: charts.confidence_against_precision(L.label_frame(store, ["avg_confidence"]), L.quality_frame(store, days=60)))
+stored("label_error_rates", "V13", "label:s false_positive_rate:6 false_negative_rate:6 total_error_rate:6",
+       f"SELECT series AS label, sum(fp) / nullif(sum(tp + fp), 0) AS false_positive_rate, sum(fn) / nullif(sum(tp + fn), 0) "
+       f"AS false_negative_rate, sum(fp + fn) / nullif(sum(tp + fp + fn), 0) AS total_error_rate FROM {recent_sql(CONFUSION)} GROUP BY 1")(
+    lambda store: charts.label_error_rates(L.label_frame(store, ["tp", "fp", "fn"])))
+stored("tp_fp_fn_comparison", "V14", "label:s total_tp:i total_fp:i total_fn:i",
+       f"SELECT series AS label, sum(tp) AS total_tp, sum(fp) AS total_fp, sum(fn) AS total_fn FROM {recent_sql(CONFUSION)} GROUP BY 1")(
+    lambda store: charts.label_totals(L.label_frame(store, ["tp", "fp", "fn"])))
+stored("top_labels_by_count", "V15 L2", "label:s total_count:i",
+       f"SELECT series AS label, sum(class_count) AS total_count FROM {recent_sql(CLASS_COUNT)} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")(
+    lambda store: charts.top_labels(L.label_frame(store, ["class_count"])))
+
+
+def stored_pairs(store):
+    return L.label_frame(store, ["pred_cooccurrence_count", "gt_cooccurrence_count"], dimensions=L.PAIR)
+
+
+stored("top_cooccurring_pairs", "V16 L2", "label_1:s label_2:s pred_count:i gt_count:i",
+       f"{PAIR_TOTALS} ORDER BY gt_count DESC, label_1, label_2 LIMIT 20")(lambda store: charts.top_pairs(stored_pairs(store)))
+for _which, _name in (("pred", "predicted"), ("gt", "groundtruth")):
+    stored(f"{_name}_cooccurrence_heatmap", "V17", "label_1:s label_2:s total_cooccurrence:i",
+           f"SELECT label_1, label_2, {_which}_count AS total_cooccurrence FROM ({PAIR_TOTALS})")(
+        lambda store, which=_which: charts.cooccurrence_heatmap(stored_pairs(store), which=which))
+stored("cooccurrence_comparison", "V18 A9 L2", "label_1:s label_2:s pred_count:i gt_count:i difference:i",
+       f"SELECT *, pred_count - gt_count AS difference FROM ({PAIR_TOTALS}) WHERE gt_count > 10 "
+       "ORDER BY abs(difference) DESC, label_1, label_2 LIMIT 50")(lambda store: charts.cooccurrence_difference(stored_pairs(store)))

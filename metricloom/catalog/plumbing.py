@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -13,9 +14,9 @@ from metricloom.catalog.dashboards import over
 from metricloom.catalog.registry import register
 from metricloom.functions import sketches
 from metricloom.functions.timebuckets import between
-from metricloom.operators import binary, probability, sketch_checks
+from metricloom.operators import binary, probability, regression, sketch_checks
 from metricloom.plans import store as S
-from metricloom.plans.definitions import Binding, MetricDefinition, rebind, sql_metric
+from metricloom.plans.definitions import Binding, DefinitionRegistry, MetricDefinition, rebind, sql_metric
 from metricloom.session import scratch_path
 from metricloom.sources import readers, writers
 from metricloom.streaming import metrics as stream_metrics
@@ -55,9 +56,13 @@ def _(spark, d):
     path = scratch_path(spark, "json")
     rows = views.events(spark, d)
     parts = {"year": F.year("ts"), "month": F.month("ts"), "day": F.dayofmonth("ts")}
-    rows.withColumns(parts).hint("rebalance", *parts).write.partitionBy(*parts).json(path)
-    schema = EVENTS_SCHEMA + ", year int, month int, day int"
-    return by_type(spark.read.schema(schema).json(path).drop(*parts))
+    # One JSON array for each file, of at most some thousand rows.
+    chunk = F.pmod(F.xxhash64("event_id"), F.lit(16)).alias("chunk")
+    arrays = rows.groupBy(*[c.alias(n) for n, c in parts.items()], chunk).agg(
+        F.to_json(F.collect_list(F.struct(*[c for c in rows.columns]))).alias("value"))
+    arrays.write.partitionBy(*parts, "chunk").text(path)
+    schema = EVENTS_SCHEMA + ", year int, month int, day int, chunk int"
+    return by_type(readers.read_partitioned_json(spark, path, schema).drop(*parts, "chunk"))
 
 
 @register("csv_round_trip", "S3 S11 X8", TYPE_OUT, f"{BY_TYPE} GROUP BY ALL")
@@ -81,8 +86,10 @@ def _(spark, d):
 
 @register("inspected_schema_scan", "S5", TYPE_OUT, f"{BY_TYPE} GROUP BY ALL")
 def _(spark, d):
-    schema = readers.inspect_schema(spark, f"{d}/events.parquet")
-    return by_type(spark.read.schema(schema).parquet(f"{d}/events.parquet"))
+    path = scratch_path(spark, "inspected")
+    views.events(spark, d).drop("props").write.options(header="true").csv(path)
+    schema = readers.inspect_schema(spark, path, file_type="csv")
+    return by_type(readers.read_csv(spark, path, schema))
 
 
 @register("optional_date_filter", "F8 F7", TYPE_OUT,
@@ -242,6 +249,90 @@ def _(spark, d):
         "metric_name", list(values)).agg(F.sum("value"))
 
 
+LATE_CUT, LATENESS = "2024-01-16 00:00:00", "2 hours"
+
+
+@register("stream_late_rows", "G1 G2 G3", "bucket:t n:i total:4", f"""
+WITH split AS (SELECT ts, amount, ts < TIMESTAMP '{LATE_CUT}' AND row_id % 10 <> 0 AS first FROM inf_binary),
+mark AS (SELECT max(ts) - INTERVAL '{LATENESS}' AS w FROM split WHERE first)
+SELECT date_trunc('hour', ts) AS bucket, count(*) AS n, sum(amount) AS total FROM split, mark
+WHERE first OR date_trunc('hour', ts) + INTERVAL '1 hour' > w GROUP BY 1""")
+def _(spark, d):
+    # Two files, one after the other: the second holds rows of the future, late ones inside the lateness, and later ones, which are dropped.
+    source, path, checkpoint = (scratch_path(spark, f"late-{n}") for n in ("rows", "store", "checkpoint"))
+    rows = views.binary(spark, d).select("ts", "amount", "row_id")
+    first = (F.col("ts") < F.lit(LATE_CUT).cast("timestamp")) & (F.col("row_id") % 10 != 0)
+    for part in (first, ~first):
+        rows.filter(part).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        values = {"n": F.count(F.lit(1)), "total": F.sum("amount")}
+        aggregated = stream_metrics.windowed(stream, ts="ts", aggregates=values, width="1 hour", lateness=LATENESS)
+        stream_metrics.start_numeric_stream(aggregated, path, checkpoint, metrics=list(values), model_id=P.MODEL).awaitTermination()
+    return S.latest_version(S.read_store(spark, path)).groupBy(F.col("timestamp").alias("bucket")).pivot(
+        "metric_name", list(values)).agg(F.sum("value"))
+
+
+# --- Reports of two kinds: sketches where quantiles are asked for, numbers beside them ---
+
+ERRORS = MetricDefinition(
+    "error_distribution", regression.error_profile, ("ts", "prediction", "actual"),
+    [S.ReportedMetric(e, e, timestamp="ts", kind="sketch") for e in ("absolute_error", "forecast_error", "absolute_percentage_error")]
+    + [S.ReportedMetric("error_count", "absolute_error", timestamp="ts", aggregate="count"),
+       S.ReportedMetric("mean_absolute_error", "absolute_error", timestamp="ts", aggregate="avg")], {"bucket": "1 day"},
+)
+BAND_OUT = "n:i median_low:4 median_high:4 p95_low:4 p95_high:4 median_held:b p95_held:b"
+
+
+def bands_of(values: str, rows: str) -> str:
+    return (f"SELECT bucket, metric_name, n, {band_sql('vs', ANSWERS)}, TRUE AS median_held, TRUE AS p95_held FROM (SELECT bucket, metric_name, "
+            f"list({values} ORDER BY {values}) AS vs, count(*) AS n FROM ({rows}) WHERE {values} IS NOT NULL GROUP BY ALL)")
+
+
+ERROR_ROWS = ("SELECT date_trunc('day', ts) AS bucket, unnest(['absolute_error', 'forecast_error', 'absolute_percentage_error']) AS metric_name, "
+              "unnest([abs(prediction - actual), prediction - actual, CASE WHEN actual <> 0 THEN abs((prediction - actual) / actual) * 100 END]) AS v "
+              "FROM inf_regression")
+
+
+@register("error_sketches_from_store", "R4 R5 R6 S8 K2 K3 U2", "bucket:t metric_name:s " + BAND_OUT, bands_of("v", ERROR_ROWS))
+def _(spark, d):
+    rows, paths = views.regression(spark, d), {k: scratch_path(spark, f"error-{k}") for k in ("numeric", "sketch")}
+    binding = Binding(ERRORS, {"ts": "ts", "prediction": "prediction", "actual": "actual"})
+    S.write_reports(binding.stored_rows(rows, model_id=P.MODEL, bucket="1 day"), paths)
+    kept = S.latest_version(S.read_store(spark, paths["sketch"], sketch=True))
+    merged = kept.groupBy(F.col("timestamp").alias("bucket"), "metric_name").agg(sketches.merge("value").alias("s"))
+    names = ("absolute_error", "forecast_error", "absolute_percentage_error")
+    each = F.explode(F.array(*[F.struct(F.lit(e).alias("metric_name"), F.col(e).alias("v")) for e in names])).alias("r")
+    errors = binding.frame(rows).select(F.col("ts").alias("bucket"), each).select("bucket", "r.*")
+    return sketch_checks.held_quantiles(errors, merged, ["bucket", "metric_name"], "v", ANSWERS)
+
+
+@register("error_numbers_from_store", "R4 S7 U2", "bucket:t error_count:i mean_absolute_error:4",
+          "SELECT date_trunc('day', ts) AS bucket, count(prediction - actual) AS error_count, avg(abs(prediction - actual)) AS mean_absolute_error "
+          "FROM inf_regression GROUP BY 1")
+def _(spark, d):
+    rows, paths = views.regression(spark, d), {k: scratch_path(spark, f"error-{k}") for k in ("numeric", "sketch")}
+    binding = Binding(ERRORS, {"ts": "ts", "prediction": "prediction", "actual": "actual"})
+    S.write_reports(binding.stored_rows(rows, model_id=P.MODEL, bucket="1 day"), paths)
+    return S.latest_version(S.read_store(spark, paths["numeric"])).groupBy(F.col("timestamp").alias("bucket")).pivot(
+        "metric_name", ["error_count", "mean_absolute_error"]).agg(F.sum("value"))
+
+
+@register("stream_reports_of_both_kinds", "G1 G5 R4 S7 S8", "bucket:t segment:s counted:i " + BAND_OUT,
+          f"SELECT *, n AS counted FROM ({bands_of('v', 'SELECT ts::DATE AS bucket, segment AS metric_name, amount AS v FROM inf_binary')}) "
+          "t(bucket, segment, n, median_low, median_high, p95_low, p95_high, median_held, p95_held)")
+def _(spark, d):
+    paths = {k: scratch_path(spark, f"reports-{k}") for k in ("numeric", "sketch")}
+    reports = [S.ReportedMetric("amount", "amount", dimensions=("segment",), kind="sketch"),
+               S.ReportedMetric("amount_count", "amount", dimensions=("segment",), aggregate="count")]
+    stream_metrics.start_report_stream(scored_stream(spark, d), paths, scratch_path(spark, "reports-checkpoint"), ts="ts", reports=reports,
+                                       model_id=P.MODEL, width="1 day").awaitTermination()
+    keys = [F.col("timestamp").alias("bucket"), S.dimension("segment").alias("segment")]
+    merged = S.latest_version(S.read_store(spark, paths["sketch"], sketch=True)).groupBy(*keys).agg(sketches.merge("value").alias("s"))
+    counted = S.latest_version(S.read_store(spark, paths["numeric"])).groupBy(*keys).agg(F.sum("value").alias("counted"))
+    rows = views.binary(spark, d).select(F.date_trunc("day", "ts").alias("bucket"), "segment", "amount")
+    return sketch_checks.held_quantiles(rows, merged, ["bucket", "segment"], "amount", ANSWERS).join(counted, ["bucket", "segment"], "left")
+
+
 @register("lookback_recompute", "G4", "bucket:t tp:i fp:i tn:i fn:i metric_version:i",
           "SELECT *, CASE WHEN bucket >= TIMESTAMP '2024-01-30 22:00:00' THEN 1 ELSE 0 END AS metric_version FROM ("
           + DAILY.replace("date_trunc('day', ts)", "date_trunc('hour', ts)") + ")")
@@ -290,3 +381,21 @@ def _(spark, d):
     renamed = rows.withColumnsRenamed({"score": "fraud_score", "label": "is_fraud"})
     again = rebind(first, renamed.schema, {"score": "fraud_score", "label": "is_fraud"})
     return again.points(renamed, model_id=P.MODEL).withColumn("segment", S.dimension("segment"))
+
+
+REGISTRY = DefinitionRegistry()
+REGISTRY.register(replace(PROFILE, literal_args={"threshold": 0.7}, version=1))
+REGISTRY.register(PROFILE)
+
+
+@register("pinned_definition_versions", "U1 U4", "version:i bucket:t npv:6", " UNION ALL ".join(
+    f"SELECT {v} AS version, bucket, tn / nullif(tn + fn, 0) AS npv FROM ({DAILY.replace('0.5', t)})" for v, t in ((1, "0.7"), (2, "0.5"), (2, "0.5"))))
+def _(spark, d):
+    rows, columns = views.binary(spark, d), {"ts": "ts", "label": "label", "score": "score"}
+    out = None
+    # The first consumer pins version 1, the second version 2, the third takes the newest.
+    for pin in (1, 2, None):
+        definition = REGISTRY.get("negative_predictive_value", pin)
+        frame = Binding(definition, columns).frame(rows).select(F.lit(definition.version).alias("version"), "bucket", "npv")
+        out = frame if out is None else out.unionByName(frame)
+    return out

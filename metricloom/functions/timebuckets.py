@@ -67,11 +67,12 @@ def since(df: DataFrame, ts: str, days: int, as_of=None) -> DataFrame:
     """Rows from ``days`` before the day of ``as_of`` on.
 
     ``as_of`` defaults to the newest timestamp of the data, never the wall clock,
-    so that a re-run over the same table gives the same rows.
+    so that a re-run over the same table gives the same rows. The bound is a literal, so that the filter moves below
+    the aggregations that ``df`` is made of.
     """
-    if as_of is not None:
-        limit = F.date_sub(F.lit(as_of).cast("timestamp").cast("date"), days).cast("timestamp")
-        return df.filter(F.col(ts) >= limit)
-    newest = df.agg(F.max(ts).cast("date").alias("_newest"))
-    limit = F.date_sub("_newest", days).cast("timestamp")
-    return df.crossJoin(F.broadcast(newest)).filter(F.col(ts) >= limit).drop("_newest")
+    if as_of is None:
+        as_of = df.agg(F.max(ts)).first()[0]
+        if as_of is None:
+            return df.filter(F.lit(False))
+    limit = F.date_sub(F.lit(as_of).cast("timestamp").cast("date"), days).cast("timestamp")
+    return df.filter(F.col(ts) >= limit)

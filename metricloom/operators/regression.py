@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from metricloom.functions.numeric import band, flag, ratio_or_null
 from metricloom.operators.common import bucketed, prediction_pairs
 from metricloom.operators.ordered import exact_quantiles
+from metricloom.session import written
 
 
 def _error() -> Column:
@@ -118,14 +119,15 @@ def mean_absolute_deviation(df: DataFrame, *, ts: str, prediction: str, bucket:
                             group_by: Sequence[str] = (), with_spread: bool = False) -> DataFrame:
     """Spread of the predictions around their own bucket mean.
 
-    The mean is a partial aggregation joined back to the rows: a window over the
+    The means are a partial aggregation, written as one row per bucket: their size is known, so they are broadcast to the
+    rows below Spark's limit, and beyond it a hot bucket's rows are split by the skew join. A window over the
     bucket would pull all its rows into one task.
     """
     keys = ["ts", *group_by]
     kept = df.dropna(subset=[ts] if with_spread else [ts, prediction])
     rows = bucketed(kept, ts, bucket, {"prediction": F.col(prediction).cast("double")}, group_by, name="ts")
     means = rows.groupBy(*keys).agg(F.avg("prediction").alias("_mean"), F.stddev_samp("prediction").alias("std_dev"))
-    means = means.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_mean", "std_dev")
+    means = written(means.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_mean", "std_dev"), "bucket-means")
     on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     out = rows.join(means, on).groupBy(*keys).agg(
         F.avg(F.abs(F.col("prediction") - F.col("_mean"))).alias("mad"), F.max("std_dev").alias("std_dev")

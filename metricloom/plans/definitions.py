@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from metricloom.plans.store import ReportedMetric, to_long
+from metricloom.plans.store import ReportedMetric, report_rows, to_long
 
 
 def sql_metric(spark: SparkSession, sql: str, *, datasets: Mapping[str, DataFrame],
@@ -63,6 +63,12 @@ class Binding:
         return to_long(self.frame(df), reports, model_id=model_id)
 
 
+    def stored_rows(self, df: DataFrame, *, model_id: str, bucket: str = "5 minutes") -> dict[str, DataFrame]:
+        """Store rows of each kind, for a definition whose frame holds single rows."""
+        reports = [replace(r, dimensions=(*r.dimensions, *self.segmentation)) for r in self.definition.reports]
+        return report_rows(self.frame(df), reports, model_id=model_id, bucket=bucket)
+
+
 def rebind(binding: Binding, schema: StructType, mapping: Mapping[str, str] | None = None) -> Binding | None:
     """The same binding for another data set, matching columns by name; None when one is gone."""
     mapping = mapping or {}

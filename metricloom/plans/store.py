@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from metricloom.functions import sketches
 from metricloom.functions.timebuckets import bucket_start
 from metricloom.plans import commits
+from metricloom.session import written
 
 POINT_KEY = ("model_id", "metric_name", "timestamp")
 NUMERIC_SCHEMA = (
@@ -37,7 +38,12 @@ SKETCH_SCHEMA = NUMERIC_SCHEMA.replace("value double", "value binary")
 
 @dataclass(frozen=True)
 class ReportedMetric:
-    """How one column of a metric frame becomes a time series."""
+    """How one column of a metric frame becomes a time series.
+
+    A frame of finished values needs no ``aggregate``. From a frame of single rows a report is made by ``aggregate``
+    (``count``, ``sum``, ``avg``, ``min`` or ``max`` of the column), or, with the kind ``sketch``, as one mergeable sketch of the column for each
+    bucket: a number for what can be added up, a sketch where quantiles will be asked for.
+    """
 
     name: str
     value: str
@@ -45,6 +51,24 @@ class ReportedMetric:
     dimensions: Sequence[str] = field(default_factory=tuple)
     kind: str = "numeric"
     description: str = ""
+    aggregate: str | None = None
+
+    def __post_init__(self) -> None:
+        if self.kind not in ("numeric", "sketch") or self.aggregate not in (None, *AGGREGATES):
+            raise ValueError(f"not a report: {self}")
+        if self.kind == "sketch" and self.aggregate is not None:
+            raise ValueError(f"a sketch has no other aggregate: {self}")
+
+    def column(self) -> Column:
+        """The aggregate over single rows."""
+        if self.kind == "sketch":
+            return sketches.build(self.value)
+        if self.aggregate is None:
+            raise ValueError(f"{self.name} is reported from finished values")
+        return AGGREGATES[self.aggregate](F.col(self.value))
+
+
+AGGREGATES = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
 
 
 def dimension_map(columns: Mapping[str, Column | str]) -> Column:
@@ -70,6 +94,42 @@ def to_long(df: DataFrame, reports: Iterable[ReportedMetric], *, model_id: str)
     return df.select(F.explode(F.array(*rows)).alias("_r")).select(F.lit(model_id).alias("model_id"), "_r.*")
 
 
+def report_rows(rows: DataFrame, reports: Sequence[ReportedMetric], *, model_id: str, bucket: str = "5 minutes") -> dict[str, DataFrame]:
+    """Store rows of each kind, ``numeric`` and ``sketch``, from one pass over single rows.
+
+    All reports share their timestamp column and dimensions. The buckets are written once and both kinds read them, so
+    that a number and a sketch of the same bucket are of the same rows. A sketch of a bucket without values is left out.
+    """
+    if len({(r.timestamp, tuple(r.dimensions)) for r in reports}) != 1:
+        raise ValueError("reports of one pass share their timestamp and their dimensions")
+    dims = tuple(reports[0].dimensions)
+    at = bucket_start(reports[0].timestamp, bucket).alias("_at")
+    kept = rows.filter(F.col(reports[0].timestamp).isNotNull())
+    built = kept.groupBy(at, *dims).agg(*[r.column().alias(f"_v{i}") for i, r in enumerate(reports)])
+    return from_buckets(written(built, "reported-buckets"), reports, model_id=model_id, timestamp="_at",
+                        values=[f"_v{i}" for i in range(len(reports))])
+
+
+def from_buckets(built: DataFrame, reports: Sequence[ReportedMetric], *, model_id: str, timestamp: str,
+                 values: Sequence[str]) -> dict[str, DataFrame]:
+    """The store rows of each kind from one row per bucket that holds every report's value."""
+    out = {}
+    for kind, value_type in (("numeric", "double"), ("sketch", "binary")):
+        entries = [F.struct(F.lit(r.name).alias("metric_name"), F.col(timestamp).cast("timestamp").alias("timestamp"),
+                            F.col(v).cast(value_type).alias("value"), dimension_map({d: d for d in r.dimensions}).alias("dimensions"))
+                   for r, v in zip(reports, values, strict=True) if r.kind == kind]
+        if entries:
+            long = built.select(F.explode(F.array(*entries)).alias("_r")).select(F.lit(model_id).alias("model_id"), "_r.*")
+            out[kind] = long.filter(sketches.count("value") > 0) if kind == "sketch" else long
+    return out
+
+
+def write_reports(rows: Mapping[str, DataFrame], paths: Mapping[str, str], *, run_id: str | None = None) -> None:
+    """Write the rows of each kind to that kind's store, as its next version."""
+    for kind, points in rows.items():
+        write_points(points, paths[kind], run_id=run_id)
+
+
 def sketch_points(df: DataFrame, *, ts: str, value: str, metric_name: str, model_id: str,
                   dimensions: Sequence[str] = (), bucket: str = "5 minutes") -> DataFrame:
     """Row-level values to one mergeable sketch per bucket and dimension values."""

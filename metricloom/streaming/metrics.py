@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from metricloom.functions import sketches
 from metricloom.functions.timebuckets import window_args
-from metricloom.plans.store import ReportedMetric, dimension_map, to_long, with_unchanged_dimensions, write_points
+from metricloom.plans.store import ReportedMetric, dimension_map, from_buckets, to_long, with_unchanged_dimensions, write_points
 
 LATENESS = "2 hours"
 
@@ -74,6 +74,27 @@ def start_sketch_stream(stream: DataFrame, path: str, checkpoint: str, *, ts: st
     return _start(built, sink, checkpoint, trigger)
 
 
+def start_report_stream(stream: DataFrame, paths: Mapping[str, str], checkpoint: str, *, ts: str, reports: Sequence[ReportedMetric],
+                        model_id: str, width: str = "5 minutes", lateness: str = LATENESS, trigger: Mapping | None = None) -> StreamingQuery:
+    """Reports of both kinds from one stream of single rows, each kind to its own store (``paths``)."""
+    dims = list(reports[0].dimensions)
+    if any(list(r.dimensions) != dims for r in reports):
+        raise ValueError("reports of one stream share their dimensions")
+    built = windowed(stream, ts=ts, aggregates={f"_v{i}": r.column() for i, r in enumerate(reports)}, width=width, group_by=dims, lateness=lateness)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        run_id = f"{query_id(batch.sparkSession, checkpoint)}-{batch_id}"
+        batch = batch.persist()
+        try:
+            rows = from_buckets(batch, reports, model_id=model_id, timestamp="bucket", values=[f"_v{i}" for i in range(len(reports))])
+            for kind, points in rows.items():
+                _write_version(points, paths[kind], run_id, [r.name for r in reports if r.kind == kind], bool(dims), sketch=kind == "sketch")
+        finally:
+            batch.unpersist()
+
+    return _start(built, sink, checkpoint, trigger)
+
+
 def query_id(spark: SparkSession, checkpoint: str) -> str:
     """The id that Spark gave the query of this checkpoint; another checkpoint has another id."""
     return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
