@@ -33,9 +33,9 @@ def tables_made() -> Iterator[list[str]]:
         _scopes.remove(made)
 
 
-def drop_tables(spark: SparkSession, paths: list[str], needed: DataFrame) -> list[str]:
-    """Delete those of the written tables that ``needed`` does not read; the others are returned."""
-    read = needed.inputFiles()
+def drop_tables(spark: SparkSession, paths: list[str], *needed: DataFrame) -> list[str]:
+    """Delete those of the written tables that none of ``needed`` reads; the others are returned."""
+    read = [f for df in needed for f in df.inputFiles()]
     kept = [p for p in paths if any(f"/{p.rsplit('/', 1)[1]}/" in f for f in read)]
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:

@@ -10,8 +10,9 @@ stretches of 6, then 12 words (twice that length), then the whole window:
 * level 13: surviving windows are compared as wholes by a 96-bit hash. A window is removed
   if its smallest document id is smaller than the document's own.
 
-Documents of equal word sequences are one document from the second level on; the copies
-lose every word that lies in a window, which is what the rule says for them.
+Documents of equal word sequences are one document from the second level on, and inside a batch
+from the first one; the copies lose every word that lies in a window, which is what the rule says for them.
+Tables that no later step reads are dropped on the way.
 
 Defined results: null or empty text has no words, and the hash of no bytes. Documents
 below ``width`` words are kept whole. A null id is neither smaller nor larger than any
@@ -25,13 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.llm.spans import (
     Batch, by_document, changes, covered, in_other_documents, lists_of, members, sha256, smallest_inside,
 )
-from metricloom.llm.storage import stage
+from metricloom.llm.storage import drop_tables, stage, tables_made
 from metricloom.llm.words import as_array, slices, sums_of, window_hashes
 
 WIDTH = 13
@@ -46,14 +48,24 @@ def parts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.Rec
             yield part, Batch.of(part.column(text))
 
 
+def first_of_equals(ids: pa.Array, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    """Which documents have the smallest id of those of the batch with the same word sequence."""
+    known = ids.is_valid().to_numpy(zero_copy_only=False)
+    numbers = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
+    order = np.lexsort((numbers, ~known, k2, k1))
+    first = np.zeros(len(order), bool)
+    first[order] = np.concatenate([[True], (np.diff(k1[order]) != 0) | (np.diff(k2[order]) != 0)])[:len(order)]
+    return first
+
+
 def described(docs: DataFrame, level: int, width: int) -> DataFrame:
     """``doc_id``, the two keys of the word sequence, ``n_words``, the hash of all words, and first-level stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, words in parts(batches, 1):
             _, rows, low = smallest_inside(words, level, width)
-            new = changes(low, rows)
             k1, k2 = words.keys()
+            new = changes(low, rows) & first_of_equals(part.column(0), k1, k2)[rows]
             yield pa.RecordBatch.from_arrays([
                 part.column(0), pa.array(k1), pa.array(k2), pa.array(words.counts, pa.int64()), sha256(words.joined()),
                 lists_of(low[new].view(np.int64), rows[new], part.num_rows),
@@ -119,20 +131,24 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
                    levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of each row."""
     plain = docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"cast(`{text}` as string) text")
-    base = stage(described(plain, levels[0], width), "substrings-base")
-    firsts = base.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    reps = firsts.filter("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
-    stretches = base.filter("doc_id is not null").select("doc_id", F.explode("stretches").alias("h"))
-    alive = by_document(in_other_documents(stretches, ["h"]), "h", "alive").join(reps, "doc_id")
-    active = stage(plain.join(alive, "doc_id"), "substrings-active")
-    texts = active.drop("alive")
-    for before, level in zip(levels, levels[1:], strict=False):
-        longer = stage(next_level(active, before, level, width), f"substrings-{level}")
-        found = in_other_documents(longer.select("doc_id", F.explode("stretches").alias("h")), ["h"])
-        active = texts.join(by_document(found, "h", "alive"), "doc_id")
-    windows = stage(whole_windows(active, levels[-1], width), f"substrings-{width}")
-    rows = windows.select("doc_id", F.explode(F.arrays_zip("h1", "h2")).alias("h")).select("doc_id", "h.h1", "h.h2")
-    gone = by_document(in_other_documents(rows, ["h1", "h2"], F.col("doc_id") > F.col("first")), "h1", "gone")
+    spark = docs.sparkSession
+    with tables_made() as made:
+        base = stage(described(plain, levels[0], width), "substrings-base")
+        firsts = base.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+        reps = firsts.filter("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
+        stretches = base.filter("doc_id is not null").select("doc_id", F.explode("stretches").alias("h"))
+        alive = by_document(in_other_documents(stretches, ["h"]), "h", "alive").join(reps, "doc_id")
+        active = stage(plain.join(alive, "doc_id"), "substrings-active")
+        made[:] = drop_tables(spark, made, base, active)
+        texts = active.drop("alive")
+        for before, level in zip(levels, levels[1:], strict=False):
+            longer = stage(next_level(active, before, level, width), f"substrings-{level}")
+            found = in_other_documents(longer.select("doc_id", F.explode("stretches").alias("h")), ["h"])
+            active = texts.join(by_document(found, "h", "alive"), "doc_id")
+        windows = stage(whole_windows(active, levels[-1], width), f"substrings-{width}")
+        made[:] = drop_tables(spark, made, base, texts, windows)
+        rows = windows.select("doc_id", F.explode(F.arrays_zip("h1", "h2")).alias("h")).select("doc_id", "h.h1", "h.h2")
+        gone = by_document(in_other_documents(rows, ["h1", "h2"], F.col("doc_id") > F.col("first")), "h1", "gone")
     removed = cut(texts.join(gone, "doc_id"), width).dropDuplicates(["doc_id", "k1", "k2"])
     copy = (F.col("doc_id") > F.col("rep")) & (F.col("n_words") >= width)
     return (
