@@ -119,5 +119,13 @@ def in_other_documents(rows: DataFrame, keys: list[str], keep: Column | None = N
     return found if keep is None else found.filter(keep)
 
 
+def groups_of_equals(base: DataFrame) -> DataFrame:
+    """``k1, k2, rep`` (the smallest id) and ``held`` of each word sequence, written.
+
+    So rows that join it lie between two plain exchanges, and a sequence that many documents have is split at run time.
+    """
+    return stage(base.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("held")), "equal-texts")
+
+
 def by_document(rows: DataFrame, value: str, name: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.collect_list(value).alias(name))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.llm.spans import (
-    Batch, by_document, changes, covered, in_other_documents, lists_of, members, sha256, smallest_inside,
+    Batch, by_document, changes, covered, groups_of_equals, in_other_documents, lists_of, members, sha256, smallest_inside,
 )
 from metricloom.llm.storage import drop_tables, stage, tables_made
 from metricloom.llm.words import as_array, slices, sums_of, window_hashes
@@ -134,25 +134,25 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     spark = docs.sparkSession
     with tables_made() as made:
         base = stage(described(plain, levels[0], width), "substrings-base")
-        firsts = base.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+        firsts = groups_of_equals(base)
         reps = firsts.filter("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
         stretches = base.filter("doc_id is not null").select("doc_id", F.explode("stretches").alias("h"))
         alive = by_document(in_other_documents(stretches, ["h"]), "h", "alive").join(reps, "doc_id")
         active = stage(plain.join(alive, "doc_id"), "substrings-active")
-        made[:] = drop_tables(spark, made, base, active)
+        made[:] = drop_tables(spark, made, base, firsts, active)
         texts = active.drop("alive")
         for before, level in zip(levels, levels[1:], strict=False):
             longer = stage(next_level(active, before, level, width), f"substrings-{level}")
             found = in_other_documents(longer.select("doc_id", F.explode("stretches").alias("h")), ["h"])
             active = texts.join(by_document(found, "h", "alive"), "doc_id")
         windows = stage(whole_windows(active, levels[-1], width), f"substrings-{width}")
-        made[:] = drop_tables(spark, made, base, texts, windows)
+        made[:] = drop_tables(spark, made, base, firsts, texts, windows)
         rows = windows.select("doc_id", F.explode(F.arrays_zip("h1", "h2")).alias("h")).select("doc_id", "h.h1", "h.h2")
         gone = by_document(in_other_documents(rows, ["h1", "h2"], F.col("doc_id") > F.col("first")), "h1", "gone")
     removed = cut(texts.join(gone, "doc_id"), width).dropDuplicates(["doc_id", "k1", "k2"])
     copy = (F.col("doc_id") > F.col("rep")) & (F.col("n_words") >= width)
     return (
-        base.drop("stretches").join(firsts, ["k1", "k2"], "left").join(removed, ["doc_id", "k1", "k2"], "left")
+        base.drop("stretches").join(firsts.filter("held > 1"), ["k1", "k2"], "left").join(removed, ["doc_id", "k1", "k2"], "left")
         .select(
             "doc_id", "n_words",
             F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),

@@ -31,7 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.llm.spans import Batch, by_document, changes, covered, in_other_documents, lists_of, members, smallest_inside
+from metricloom.llm.spans import (
+    Batch, by_document, changes, covered, groups_of_equals, in_other_documents, lists_of, members, smallest_inside,
+)
 from metricloom.llm.storage import partitions_for, stage
 from metricloom.llm.words import as_array, mix, slices, spread, window_hashes
 
@@ -237,7 +239,7 @@ def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min
     plain = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     plain = plain.withColumn("t", F.xxhash64("text"))
     base = stage(described(plain), "suffix-base")
-    firsts = base.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    firsts = groups_of_equals(base)
     reps = firsts.filter("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
     table = stage(suffixes(plain.select("doc_id", "text"), min_words, anchor), "suffix-table")
     alive = by_document(compared(table, anchor), "h", "alive").join(reps, "doc_id")
@@ -254,7 +256,7 @@ def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min
     firsts_of = last.select("doc_id", F.least("first_a", "first_b").alias("first_doc_id")).distinct()
     own = found_spans(last, min_words, anchor, texts).dropDuplicates(["doc_id", "t"]).join(firsts_of, "doc_id")
     copy = (F.col("doc_id") > F.col("rep")) & (F.col("n_words") >= min_words)
-    copies = base.join(firsts, ["k1", "k2"]).filter(copy).dropDuplicates(["doc_id", "t"]).select(
+    copies = base.join(firsts.filter("held > 1"), ["k1", "k2"]).filter(copy).dropDuplicates(["doc_id", "t"]).select(
         "doc_id", "t", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("length"))).alias("spans"),
         *[F.lit("").alias("kept")] * texts, F.col("rep").alias("first_doc_id"))
     # A document that is a copy of another has that result only.

@@ -7,10 +7,11 @@ holds up to ``block_tokens`` ids of whole documents:
   unsigned, ``id_bytes`` wide, the end id included;
 * ``doc_ids``, ``n_tokens`` and ``ends``: the index, the last one telling where each
   frame ends in ``data``, so one document is read by decompressing its frame alone;
+* ``first_doc_id`` and ``last_doc_id``: the block's range, by whose statistics a reader skips files and row groups;
 * ``dictionary_hash``: names the dictionary, kept once in the folder ``dictionary``.
 
-The dictionary is trained on the first ``SAMPLE_BYTES`` of ids of at most
-``SAMPLE_DOCUMENTS`` documents, chosen by a hash of their text; it changes sizes, never
+The dictionary is trained on stretches of ``SAMPLE_BYTES`` of ids of at most
+``SAMPLE_DOCUMENTS`` different texts, chosen by a hash of the text; it changes sizes, never
 contents.
 
 Defined results: null text is empty, so a document of the end id alone. Null ids come
@@ -41,7 +42,7 @@ BLOCK_TOKENS = 1 << 20
 LEVEL = 3
 #: Documents of a shard; a shard's texts pass through one task, block by block.
 SHARD_DOCUMENTS = 8192
-BLOCKS = ("shard int, block int, first_doc_id long, dictionary_hash string, id_bytes int, "
+BLOCKS = ("shard int, block int, first_doc_id long, last_doc_id long, dictionary_hash string, id_bytes int, "
           "doc_ids array<long>, n_tokens array<long>, ends array<long>, data binary")
 
 
@@ -56,15 +57,30 @@ def documents_ids(encoder, texts: pa.Array, end_id: int, width: int) -> tuple[np
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int) -> tuple[str, bytes]:
-    """Hash and bytes of a dictionary from a bounded sample of serialized id arrays; empty where the sample is too small."""
+    """Hash and bytes of a dictionary from a bounded sample of serialized id arrays; empty where the sample is too small.
+
+    The sample is of different texts, so a large group of copies takes one place, and of each text one stretch
+    that begins where the text's hash says. Stretches are cut in the tasks: no whole text reaches the driver.
+    """
     width = id_width(tokenizer_path, end_id)
-    sample = (
-        docs.filter(F.length("text") > 0)
-        .select(F.xxhash64("text").alias("h"), F.substring("text", 1, SAMPLE_BYTES).alias("text"))
-        .orderBy("h", "text").limit(SAMPLE_DOCUMENTS).select("text").toArrow()["text"]
-    )
-    ids, ends = documents_ids(text_encoder(tokenizer_path), as_array(sample), end_id, width)
-    samples = [ids[a:b].tobytes()[:SAMPLE_BYTES] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    texts = docs.filter(F.length("text") > 0).select(F.xxhash64("text").alias("h"), "text")
+    chosen = texts.select("h").distinct().orderBy("h").limit(SAMPLE_DOCUMENTS)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = text_encoder(tokenizer_path)
+        for batch in batches:
+            for a, b in slices(as_array(batch.column(1))):
+                ids, ends = documents_ids(encoder, as_array(batch.column(1)).slice(a, b - a), end_id, width)
+                hashes = batch.column(0).slice(a, b - a).to_pylist()
+                out = []
+                for h, x, y in zip(hashes, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    at = x + h % max(1, y - x - SAMPLE_BYTES // width + 1)
+                    out.append(ids[at:min(y, at + SAMPLE_BYTES // width)].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(out, pa.binary())], ["h", "sample"])
+
+    # At most SAMPLE_DOCUMENTS hashes are broadcast, and as many stretches of SAMPLE_BYTES come back.
+    rows = texts.join(F.broadcast(chosen), "h").mapInArrow(cut, "h long, sample binary")
+    samples = rows.groupBy("h").agg(F.min("sample").alias("sample")).orderBy("h").limit(SAMPLE_DOCUMENTS).toArrow()["sample"].to_pylist()
     try:
         data = zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -114,10 +130,10 @@ def _block(held: list, shard: int, number: int, digest: str, width: int) -> pa.R
     names, counts, frames, _ = zip(*held, strict=True)
     many = pa.list_(pa.int64())
     return pa.RecordBatch.from_arrays([
-        pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([names[0]], pa.int64()), pa.array([digest]),
+        pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([names[0]], pa.int64()), pa.array([names[-1]], pa.int64()), pa.array([digest]),
         pa.array([width], pa.int32()), pa.array([list(names)], many), pa.array([list(counts)], many),
         pa.array([np.cumsum([len(f) for f in frames]).tolist()], many), pa.array([b"".join(frames)], pa.binary()),
-    ], ["shard", "block", "first_doc_id", "dictionary_hash", "id_bytes", "doc_ids", "n_tokens", "ends", "data"])
+    ], ["shard", "block", "first_doc_id", "last_doc_id", "dictionary_hash", "id_bytes", "doc_ids", "n_tokens", "ends", "data"])
 
 
 def read_dictionary(spark: SparkSession, path: str) -> bytes:
@@ -182,11 +198,17 @@ def _few(before: DataFrame) -> bool:
     return len(before.limit(BROADCAST_BLOCKS + 1).select("block").toArrow()) <= BROADCAST_BLOCKS
 
 
+def blocks_of(spark: SparkSession, path: str, doc_id: int) -> DataFrame:
+    """The blocks that hold this id; others are skipped by their range before their data are read. Null ids begin a block."""
+    inside = (F.col("first_doc_id").isNull() | (F.col("first_doc_id") <= doc_id)) & (F.col("last_doc_id") >= doc_id)
+    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").filter(inside).filter(F.array_contains("doc_ids", F.lit(doc_id).cast("long")))
+
+
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
     """The ids of every row with this id, from the frames of those documents alone."""
     frames = _decompressor(read_dictionary(spark, path))
     found = []
-    hit = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").filter(F.array_contains("doc_ids", F.lit(doc_id).cast("long")))
+    hit = blocks_of(spark, path, doc_id)
     for row in hit.orderBy("shard", "block").toLocalIterator():
         ends = [0, *row.ends]
         for i, name in enumerate(row.doc_ids):
