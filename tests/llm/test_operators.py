@@ -318,3 +318,32 @@ def test_token_files(spark, edge, source):
     assert token_files.read_token_files(spark, empty).count() == 0
 
 
+
+
+def test_a_document_is_found_by_the_ranges_of_blocks(spark):
+    """Blocks outside the id's range are skipped by their statistics, also beside null ids and ids of several rows."""
+    rows = [(None, "no id"), (None, "no id too")] + [(i, f"document {i} " * 30) for i in range(0, 400, 2)] + [(100, "another one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    path = scratch_path(spark, "test-token-files")
+    token_files.write_token_files(df, path, WORD, block_tokens=600)
+    blocks = spark.read.parquet(f"{path}/blocks")
+    assert blocks.count() > 20
+    before = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    plan = token_files.blocks_of(spark, path, 100)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.maxMetadataStringLength", before)
+    assert "LessThanOrEqual(first_doc_id,100)" in plan and "GreaterThanOrEqual(last_doc_id,100)" in plan
+    inside = blocks.filter("(first_doc_id is null or first_doc_id <= 100) and last_doc_id >= 100").count()
+    assert 1 <= inside <= 2
+    for d, n in ((0, 1), (100, 2), (398, 1), (99, 0), (1000, 0)):
+        want = sorted(library_ids(WORD, t) + [1] for i, t in rows if i == d)
+        assert len(want) == n and sorted(token_files.read_document(spark, path, d)) == want
+
+
+def test_dictionary_is_of_different_texts_and_their_middles(spark):
+    same_text = " ".join(LONG)
+    rows = [(i, same_text) for i in range(3000)] + [(5000 + i, " ".join(_R.choices(LONG, k=300))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    digest, data = token_files.train_dictionary(df, WORD, 1)
+    assert data and (digest, data) == token_files.train_dictionary(df.repartition(2), WORD, 1)
+    assert token_files.train_dictionary(df.limit(0), WORD, 1)[1] == b""
