@@ -86,6 +86,26 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+SQL["op9_substring_dedup"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+places AS (SELECT r, doc_id, unnest(ws) AS w, unnest(generate_series(1, len(ws))) AS i FROM d),
+windows AS (
+  SELECT r, doc_id, i, w, string_agg(w, ' ') OVER following AS key, count(*) OVER following AS n FROM places
+  WINDOW following AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+judged AS (
+  SELECT r, i, w, n = 13 AND doc_id > min(doc_id) OVER (PARTITION BY key) AS copied FROM windows),
+covered AS (
+  SELECT r, i, w, coalesce(bool_or(copied) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM judged),
+kept AS (
+  SELECT r, count(*) FILTER (WHERE gone) AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS left_over
+  FROM covered GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(left_over, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
 @query
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(read_table(spark, sf_dir, "documents"))
@@ -96,11 +116,66 @@ def op7_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.joined(read_table(spark, sf_dir, "documents"))
 
 
+SQL["op7_set_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS ws FROM documents),
+places AS (SELECT r, doc_id, len(ws) AS words, unnest(ws) AS w, unnest(generate_series(1, len(ws))) AS i FROM d),
+windows AS (
+  SELECT r, doc_id, words, i, string_agg(w, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS shingle
+  FROM places),
+sets AS MATERIALIZED (SELECT DISTINCT r, doc_id, shingle FROM windows WHERE i = 1 OR i + 4 <= words),
+sizes AS MATERIALIZED (SELECT r, doc_id, count(*) AS n FROM sets GROUP BY r, doc_id),
+shared AS (
+  SELECT a.r AS x, b.r AS y, count(*) AS common FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.r, b.r),
+links AS MATERIALIZED (
+  SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM shared JOIN sizes a ON a.r = x JOIN sizes b ON b.r = y
+  WHERE 100 * common >= 75 * (a.n + b.n - common)),
+either AS MATERIALIZED (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (
+  SELECT x, y FROM either UNION SELECT reach.x, either.y FROM reach JOIN either ON reach.y = either.x),
+components AS (SELECT x AS doc_id, min(y) AS least FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(least, d.doc_id) AS component_id
+FROM d LEFT JOIN sizes ON d.r = sizes.r LEFT JOIN components ON d.doc_id = components.doc_id
+"""
+
+
 @query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.removed_lines(read_table(spark, sf_dir, "documents"))
 
 
+SQL["op2_line_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM (SELECT DISTINCT doc_id, text FROM documents)),
+split AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i
+          FROM d WHERE text IS NOT NULL),
+marked AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS wordy FROM split),
+reach AS (
+  SELECT *, min(CASE WHEN wordy THEN i END) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next,
+         max(CASE WHEN wordy THEN i END) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS last FROM marked),
+runs AS (
+  SELECT r, doc_id, i, true AS forward, string_agg(line, chr(10)) OVER (
+    PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND coalesce(next - i, 0) FOLLOWING) AS run FROM reach
+  QUALIFY next IS NOT NULL
+  UNION ALL
+  SELECT r, doc_id, i, false, string_agg(line, chr(10)) OVER (
+    PARTITION BY r ORDER BY i ROWS BETWEEN coalesce(i - last, 0) PRECEDING AND CURRENT ROW) FROM reach
+  QUALIFY last IS NOT NULL),
+judged AS (
+  SELECT r, i, coalesce(doc_id > min(doc_id) OVER (PARTITION BY forward, run), false)
+    OR i > min(i) OVER (PARTITION BY forward, run, r) AS copied FROM runs),
+gone AS (SELECT DISTINCT r, i FROM judged WHERE copied),
+kept AS (
+  SELECT split.r, count(*) AS n_lines, count(gone.i) AS n_removed,
+         string_agg(line, chr(10) ORDER BY split.i) FILTER (WHERE gone.i IS NULL) AS left_over
+  FROM split LEFT JOIN gone ON split.r = gone.r AND split.i = gone.i GROUP BY split.r)
+SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(left_over, '')) AS kept_sha256
+FROM documents JOIN d ON documents.doc_id IS NOT DISTINCT FROM d.doc_id AND documents.text IS NOT DISTINCT FROM d.text
+LEFT JOIN kept ON kept.r = d.r
+"""
+
+
 @query
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
