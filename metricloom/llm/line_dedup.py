@@ -1,64 +1,46 @@
-"""Repeated line runs by doubled class names over line sequences; later copies are deleted.
+"""Maximal repeated line runs by prefix doubling over line sequences; later copies are deleted.
 
 A line goes if it lies in a run of ``min_lines`` lines or more, with a word in it, that a
 document with a smaller id has too, or the same document earlier on. By default one line
 is a run.
 
-It is enough to look at two runs for each line: the shortest one of ``min_lines`` lines or
-more with a word that begins there, and the shortest one that ends there. Any longer
-copied run consists of such runs, which are copied with it. They are longer than
-``min_lines`` only next to lines without words. Each names up to ``min_lines`` lines to
-delete, those next to the line that it was made for, so no run is written out.
-
-Runs are compared by names. Prefix doubling names all places of 2**j lines, a name being
-made of those of the two halves, inside each document's row; a run's name is made of
-those of the two places of 2**j lines that cover it. There are as many levels as the
-longest of the runs above needs, not the longest document.
-
-Only DataFrame functions run here. Runs are first summed inside a document, then over
-the cluster with a partial aggregation; the join back is a plain shuffle join.
+1. Lines that occur once end every run. The others stay, apart from lines without words
+   that no repeated line with a word is next to. Lines that always follow one another, everywhere they occur, are
+   one block: a maximal run holds such a block whole or not at all. A copied document without other
+   repeats is one block, however long it is.
+2. Prefix doubling: a place is named at level j by the 2**j blocks that begin there, a name being
+   made of those of the two halves.
+3. The intervals of the suffixes' longest common prefixes, found from the longest level down. An interval
+   of common blocks is split at level j by the names at the places behind them. Where two suffixes or more agree, they make
+   an interval that is 2**j blocks longer; its first place stays behind and stands for it, so that a shorter
+   prefix is found too. No interval is gathered anywhere: splitting one is a partial aggregation and a join with the
+   names that occur twice. There are no more rows than places and intervals.
+4. In each interval every place but the first has an earlier copy of that length, and it stays behind only as a first place, so
+   the length where it ceases to be first is that of its longest earlier copy. Runs inside longer runs are not maximal; the others are
+   ``maximal_runs``, and their lines go.
+
+Names are hashes of 96 bits in place of ranks: the intervals are the same, in no order.
+Only DataFrame functions run here.
 
 Defined results: lines are what ``\\n`` separates, compared as they are. Null texts stay
 null and have no lines. Rows with a null id lose only copies within themselves. Rows of
 the same id and different text do not affect each other; repeated rows have the same
-result each.
+result each. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricloom.llm.storage import stage
+from metricloom.llm.storage import drop_tables, stage, tables_made
 
 MIN_LINES = 1
+RUNS = "doc_id long, t long, start int, length int, first_doc_id long, first_start int, new_from int"
 
 
-def _half(before: str, half: int):
-    """The class of a place from the classes of its two halves."""
-
-    def doubled(i: Column) -> Column:
-        x, y = F.get(F.col(before), i), F.get(F.col(before), i + half)
-        return F.struct(F.xxhash64(x["a"], y["a"], x["b"]).alias("a"), F.hash(x["b"], y["b"], y["a"]).alias("b"))
-
-    return doubled
-
-
-def line_classes(plain: DataFrame, levels: int) -> DataFrame:
-    """Adds ``level0 .. level(levels-1)``: the class names of each place, arrays of (two hashes)."""
-    name = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.hash(x).alias("b")))
-    table = plain.withColumn("level0", name)
-    for j in range(1, levels):
-        half, before = 1 << (j - 1), f"level{j - 1}"
-        n = F.size(before) - half
-        places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        table = table.withColumn(f"level{j}", F.transform(places, _half(before, half)))
-    return table
-
-
-def shortest_runs(lines: DataFrame, min_lines: int) -> DataFrame:
-    """Adds ``runs``, (begin, end, whether made for its end) of each run to look at; ``end`` is its last line."""
-    place = F.sequence(F.lit(0), F.size("lines") - 1)
+def next_and_last_words(lines: DataFrame) -> DataFrame:
+    """Adds ``next`` and ``last``: the next line with a word from each line on, and the last one up to it (null or -1 beyond)."""
     wordy = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(r"[^ \t-\r]"), i)), lambda i: i.isNotNull())
     table = lines.withColumn("words", wordy).withColumn("n_words", F.size("words"))
     numbers = F.when(F.col("n_words") > 0, F.sequence(F.lit(0), F.col("n_words") - 1)).otherwise(F.array().cast("array<int>"))
@@ -66,68 +48,174 @@ def shortest_runs(lines: DataFrame, min_lines: int) -> DataFrame:
     def word(k: Column, none: Column) -> Column:
         return F.coalesce(F.get("words", k), none)
 
-    # The next line with a word from each line on, and the last one up to it; beyond them are nulls and -1.
     table = table.withColumn("next", F.flatten(F.transform(
         numbers, lambda k: F.array_repeat(F.get("words", k), F.get("words", k) - word(k - 1, F.lit(-1))))))
-    table = table.withColumn("last", F.concat(
+    return table.withColumn("last", F.concat(
         F.array_repeat(F.lit(-1), word(F.lit(0), F.size("lines"))),
         F.flatten(F.transform(numbers, lambda k: F.array_repeat(
-            F.get("words", k), word(k + 1, F.size("lines")) - F.get("words", k))))))
+            F.get("words", k), word(k + 1, F.size("lines")) - F.get("words", k)))))).drop("words", "n_words")
 
-    def run(begin: Column, end: Column, by_end: bool) -> Column:
-        return F.struct(begin.alias("begin"), end.alias("end"), F.lit(by_end).alias("by_end"))
 
-    forward = F.transform(place, lambda i: run(i, F.when(F.get("next", i).isNotNull(), F.greatest(F.get("next", i), i + (min_lines - 1))), False))
-    backward = F.transform(place, lambda i: run(F.when(F.get("last", i) >= 0, F.least(F.get("last", i), i - (min_lines - 1))), i, True))
-    # Runs of min_lines lines are the same both ways.
-    longer = F.filter(backward, lambda r: (r["begin"] >= 0) & (r["end"] - r["begin"] >= min_lines))
-    return table.withColumn("runs", F.concat(F.filter(forward, lambda r: r["end"] < F.size("lines")), longer)).drop(
-        "words", "n_words", "next", "last")
+def line_places(docs: DataFrame) -> DataFrame:
+    """A row for each line: its name, those beside it, and how far the next and the last line with a word are."""
+    lines = docs.filter("text is not null").select("doc_id", "t", F.split("text", "\n").alias("lines"))
+    # Rows without an id have lines of their own.
+    own = F.when(F.col("doc_id").isNull(), F.col("t"))
 
+    def beside(i: Column) -> Column:
+        return F.when(F.get("lines", i).isNotNull(), F.xxhash64(F.get("lines", i), own))
 
-def later_copies(docs: DataFrame, *, min_lines: int = MIN_LINES) -> DataFrame:
-    """``doc_id, t`` and ``gone`` (the numbers of the lines to delete) of documents that lose some.
+    each = F.transform("lines", lambda x, i: F.struct(
+        i.alias("i"), F.xxhash64(x, own).alias("a"), F.hash(x, own).alias("b"), (F.get("next", i) - i).alias("w"),
+        F.when(F.get("last", i) >= 0, i - F.get("last", i)).alias("v"), beside(i - 1).alias("before"), beside(i + 1).alias("after")))
+    return next_and_last_words(lines).select("doc_id", "t", F.inline(each))
+
+
+def _always(column: str) -> Column:
+    """Whether a line has the same one on this side wherever it occurs."""
+    return (F.count(column) == F.count("*")) & (F.min(column) == F.max(column))
+
+
+def repeated_sequences(docs: DataFrame) -> DataFrame:
+    """``doc_id, t, s``: the blocks (first line ``i``, ``n`` lines, a, b, w) of a document that can be part of a repeated run."""
+    places = stage(line_places(docs), "line-places")
+    repeats = places.groupBy("a", "b").agg(
+        F.count("*").alias("n"), _always("before").alias("led"), _always("after").alias("followed")).filter("n > 1").drop("n")
+    held = places.join(stage(repeats, "line-repeats"), ["a", "b"]).groupBy("doc_id", "t").agg(
+        F.sort_array(F.collect_set(F.struct("i", "a", "b", "w", "v", "led", "followed"))).alias("all"))
+
+    def beside_words(x: Column, k: Column) -> Column:
+        after, before = F.get("all", k + x["w"])["i"] == x["i"] + x["w"], F.get("all", k - x["v"])["i"] == x["i"] - x["v"]
+        return F.coalesce(after, F.lit(False)) | F.coalesce(before, F.lit(False))
+
+    def begins(x: Column, k: Column) -> Column:
+        last = F.get("lines", k - 1)
+        return F.when(F.coalesce((last["i"] == x["i"] - 1) & last["followed"] & x["led"], F.lit(False)), None).otherwise(k)
+
+    def block(k: Column, h: Column) -> Column:
+        x, end = F.get("lines", k), F.coalesce(F.get("heads", h + 1), F.size("lines"))
+        return F.struct(x["i"].alias("i"), (end - k).alias("n"), x["a"].alias("a"), x["b"].alias("b"), x["w"].alias("w"))
 
-    ``docs`` has the columns ``doc_id, t, text``; ``t`` tells apart rows of one id.
+    table = held.select("doc_id", "t", F.filter("all", beside_words).alias("lines"))
+    table = table.withColumn("heads", F.filter(F.transform("lines", begins), lambda k: k.isNotNull()))
+    return table.select("doc_id", "t", F.transform("heads", block).alias("s"))
+
+
+def _doubled(j: int):
+    """The names at level ``j + 1`` from those at level ``j``; null where the blocks do not follow one another."""
+    half = 1 << j
+
+    def name(x: Column, k: Column) -> Column:
+        y = F.get(f"level{j}", k + half)
+        whole = x.isNotNull() & y.isNotNull() & (F.get("s", k + half)["i"] - F.get("s", k)["i"] == x["n"])
+        return F.when(whole, F.struct(F.xxhash64(x["a"], y["a"], x["b"]).alias("a"), F.hash(x["b"], y["b"], y["a"]).alias("b"),
+                                      (x["n"] + y["n"]).alias("n")))
+
+    return name
+
+
+def named_places(sequences: DataFrame, levels: int) -> DataFrame:
+    """``doc_id, t, i, w, names``: names and lines of the 1, 2, 4 ... blocks from each place on, as far as blocks follow one another."""
+    table = sequences.withColumn("level0", F.transform("s", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["n"].alias("n"))))
+    for j in range(levels - 1):
+        table = table.withColumn(f"level{j + 1}", F.transform(f"level{j}", _doubled(j)))
+
+    def place(x: Column, k: Column) -> Column:
+        names = F.array(*[F.get(f"level{j}", k) for j in range(levels)])
+        return F.struct(x["i"].alias("i"), x["w"].alias("w"), F.filter(names, lambda n: n.isNotNull()).alias("names"))
+
+    return table.select("doc_id", "t", F.inline(F.transform("s", place)))
+
+
+def split_intervals(rows: DataFrame, places: DataFrame, level: int) -> DataFrame:
+    """The rows of all intervals (``g1, g2`` of ``c`` lines) after those that agree in ``2 ** level`` more blocks moved on.
+
+    ``u`` tells apart what an interval holds: places, and intervals that it stands for. ``names`` are those at the place
+    ``c`` lines on, below ``level`` afterwards.
+    """
+    keys = ["g1", "g2", "ka", "kb"]
+    name = F.get("names", F.lit(level))
+    rows = rows.withColumn("ka", name["a"]).withColumn("kb", name["b"])
+    found = rows.filter("ka is not null").groupBy(*keys).agg(
+        F.min("u").alias("lo"), F.max("u").alias("hi"), F.min("doc_id").alias("first")).filter("lo < hi")
+    found = stage(found.select(*keys, "first", F.xxhash64(*keys, F.lit(level)).alias("n1"),
+                               F.hash(*reversed(keys), F.lit(level)).alias("n2")), "line-intervals")
+    moves, shorter = F.col("n1").isNotNull(), F.slice("names", 1, level)
+    on = F.when(moves, F.col("c") + name["n"]).otherwise(F.col("c"))
+    new = rows.join(found, keys, "left").select(
+        F.coalesce("n1", "g1").alias("g1"), F.coalesce("n2", "g2").alias("g2"), on.alias("c"), "doc_id", "t", "i", "w", "u",
+        F.when(~moves, shorter).alias("names"))
+    none = F.array().cast("array<struct<a:bigint,b:int,n:int>>")
+    if level:
+        ahead = places.filter(F.size("names") > 0).select(
+            F.col("doc_id").alias("d2"), F.col("t").alias("t2"), F.col("i").alias("i2"), shorter.alias("ahead"))
+        at = F.when(F.col("names").isNull(), F.col("i") + F.col("c"))
+        new = new.withColumn("at", at).join(
+            ahead, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("t") == F.col("t2")) & (F.col("at") == F.col("i2")), "left")
+        new = new.withColumn("names", F.coalesce("names", "ahead", none)).drop("at", "d2", "t2", "i2", "ahead")
+    else:
+        new = new.withColumn("names", none)
+    # The first place stands for the new interval; rows of one id that differ do not affect each other, so each has one.
+    first = rows.join(found, keys).filter(F.col("doc_id").eqNullSafe(F.col("first"))).groupBy(*keys, "doc_id", "t", "c", "n1").agg(
+        F.min(F.struct("i", "w")).alias("p"), F.any_value("names").alias("names"))
+    stand = first.select("g1", "g2", "c", "doc_id", "t", "p.i", "p.w", F.col("n1").alias("u"), shorter.alias("names"))
+    return new.unionByName(stand).filter("c > 0 or size(names) > 0")
+
+
+def common_prefixes(places: DataFrame, levels: int) -> DataFrame:
+    """``g1, g2, c, doc_id, t, i, w``: the suffixes in each interval of ``c`` common lines, a first place for each one inside it."""
+    spark, state = places.sparkSession, None
+    with tables_made() as made:
+        for level in reversed(range(levels)):
+            whole = places.filter(F.size("names") == level + 1).select(
+                F.lit(0).cast("long").alias("g1"), F.lit(0).alias("g2"), F.lit(0).alias("c"), "doc_id", "t", "i", "w",
+                F.xxhash64("doc_id", "t", "i").alias("u"), "names")
+            rows = whole if state is None else state.unionByName(whole)
+            state = stage(split_intervals(rows, places, level), "line-prefixes")
+            made[:] = drop_tables(spark, made, state)
+    return state.drop("u", "names")
+
+
+def maximal_runs(docs: DataFrame, *, min_lines: int = MIN_LINES) -> DataFrame:
+    """``doc_id, t, start, length, first_doc_id, first_start, new_from``: maximal runs that are later copies.
+
+    The first copy is the one in the smallest document, or the first one in the same document where no smaller one has the run.
+    Runs may overlap; lines from ``new_from`` on are in no run that begins earlier. ``docs`` has the columns
+    ``doc_id, t, text``; ``t`` tells apart rows of one id.
     """
     if min_lines < 1:
         raise ValueError("min_lines must be 1 or more")
-    lines = docs.filter("text is not null").select("doc_id", "t", F.split("text", "\n").alias("lines"))
-    runs = shortest_runs(lines, min_lines)
-    longest = runs.agg(F.max(F.array_max(F.transform("runs", lambda r: r["end"] - r["begin"] + 1)))).first()[0]
-    if longest is None:
-        return docs.select("doc_id", "t", F.array().cast("array<int>").alias("gone")).limit(0)
-    levels = longest.bit_length()
-
-    def named(run: Column) -> Column:
-        begin, end = run["begin"], run["end"]
-        name = None
-        for j in range(levels):
-            x, y = F.get(f"level{j}", begin), F.get(f"level{j}", end - ((1 << j) - 1))
-            pair = x if not j else F.struct(F.xxhash64(x["a"], y["a"], x["b"]).alias("a"), F.hash(x["b"], y["b"], y["a"]).alias("b"))
-            name = (F if name is None else name).when(end - begin + 1 < 2 << j, pair)
-        length = F.when(run["by_end"], begin - end - 1).otherwise(end - begin + 1)
-        return F.struct(length.alias("length"), name.alias("c"), begin.alias("i"))
-
-    # Named inside an array function, which is not compiled: the code of many levels would be very long.
-    names = line_classes(runs, levels).select("doc_id", "t", F.explode(F.transform("runs", named)).alias("run"))
-    each = names.select("doc_id", "t", "run.length", "run.c.a", "run.c.b", "run.i")
-    # (length, name, places of the document): one row for each run in a document. Runs made for their end have negative lengths.
-    places = each.groupBy("doc_id", "t", "length", "a", "b").agg(
-        F.sort_array(F.collect_set("i")).alias("places"))
-    table = stage(places, "line-classes")
-    ends = table.groupBy("length", "a", "b").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    ends = stage(ends, "line-repeats")
-    alone = table.filter(F.size("places") > 1)
-    across = table.join(ends, ["length", "a", "b"]).filter("doc_id > first").select("doc_id", "t", "length", "places")
+    spark = docs.sparkSession
+    sequences = stage(repeated_sequences(docs), "line-sequences")
+    longest = sequences.agg(F.max(F.size("s"))).first()[0]
+    if not longest:
+        return spark.createDataFrame([], RUNS)
+    places = stage(named_places(sequences, longest.bit_length()), "line-names")
+    state = common_prefixes(places, places.agg(F.max(F.size("names"))).first()[0])
+    # One row for each document in an interval.
+    held = stage(state.filter(F.col("c") >= min_lines).groupBy("g1", "g2", "c", "doc_id", "t").agg(
+        F.sort_array(F.collect_set(F.struct("i", "w"))).alias("places")), "line-classes")
+    firsts = held.groupBy("g1", "g2").agg(F.min(F.struct("doc_id", F.get("places", F.lit(0))["i"].alias("i"))).alias("first"),
+                                          F.count("*").alias("n")).filter("n > 1").drop("n")
+    firsts = stage(firsts, "line-firsts")
+    across = held.join(firsts, ["g1", "g2"]).filter("doc_id > first.doc_id").select("c", "doc_id", "t", "places", "first")
     # The first place of a run in its own document is an original unless an earlier document has it.
-    within = alone.select("doc_id", "t", "length", F.slice("places", F.lit(2), F.size("places")).alias("places"))
-    spans = across.union(within).select("doc_id", "t", "length", F.explode("places").alias("i"))
-    start = F.when(F.col("length") > 0, F.col("i")).otherwise(F.col("i") - F.col("length") - min_lines)
-    found = spans.groupBy("doc_id", "t").agg(F.collect_set(start).alias("starts"))
-    covered = F.array_sort(F.array_distinct(F.flatten(F.transform(
-        "starts", lambda i: F.sequence(i, i + (min_lines - 1))))))
-    return found.select("doc_id", "t", covered.alias("gone"))
+    within = held.filter(F.size("places") > 1).select(
+        "c", "doc_id", "t", F.slice("places", F.lit(2), F.size("places")).alias("places"),
+        F.struct("doc_id", F.get("places", F.lit(0))["i"].alias("i")).alias("first"))
+    copies = across.union(within).select("doc_id", "t", "c", "first", F.inline("places")).filter(F.col("w") < F.col("c"))
+    before = Window.partitionBy("doc_id", "t").orderBy("i", F.desc("c"), "first").rowsBetween(Window.unboundedPreceding, -1)
+    ends = copies.withColumn("end", F.col("i") + F.col("c")).withColumn("reached", F.max("end").over(before))
+    return ends.filter("reached is null or end > reached").select(
+        "doc_id", "t", F.col("i").alias("start"), F.col("c").alias("length"), F.col("first.doc_id").alias("first_doc_id"),
+        F.col("first.i").alias("first_start"), F.greatest("i", "reached").alias("new_from"))
+
+
+def later_copies(docs: DataFrame, *, min_lines: int = MIN_LINES) -> DataFrame:
+    """``doc_id, t`` and ``gone`` (the numbers of the lines to delete) of documents that lose some."""
+    runs = maximal_runs(docs, min_lines=min_lines)
+    fresh = F.sequence(F.col("new_from"), F.col("start") + F.col("length") - 1)
+    return runs.groupBy("doc_id", "t").agg(F.sort_array(F.flatten(F.collect_list(fresh))).alias("gone"))
 
 
 def with_lines_removed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
