@@ -138,6 +138,40 @@ def test_single_lines_are_runs(spark):
         same(line_dedup.removed_lines(df, min_lines=least).collect(), line_dedup.brute_force(rows, least))
 
 
+def test_maximal_runs(spark):
+    """Start, length and first copy of each maximal run, against every run of every length."""
+    rnd = random.Random(4)
+    passage = [f"p{i}" for i in range(40)]
+    rows = [(i, "\n".join(rnd.choice(["", " ", "a", "b"]) for _ in range(rnd.randrange(1, 12)))) for i in range(25)]
+    rows += [(30 + i, "\n".join([f"own {i}", *passage[a:b], "", *passage[c:d]])) for i, (a, b, c, d) in enumerate(
+        [(0, 40, 0, 0), (3, 29, 31, 40), (0, 40, 5, 9), (10, 25, 10, 25), (39, 40, 0, 1)])]
+    rows += [(None, "a\nb\na\nb"), (50, "z\n" * 11), (51, None), (52, "")]
+    lines = {d: t.split("\n") for d, t in rows if t is not None}
+    want = {}
+    for d, own in lines.items():
+        reached = 0
+        for i in range(len(own)):
+            # The longest run from here on that a smaller document has, or this one earlier, and the first place of it.
+            best = (0, None)
+            for e, other in lines.items():
+                if e != d and (d is None or e is None or e > d):
+                    continue
+                for j in range(len(other) if e != d else i):
+                    n = 0
+                    while i + n < len(own) and j + n < len(other) and own[i + n] == other[j + n]:
+                        n += 1
+                    best = max(best, (n, None if e is None else -e, -j), key=lambda x: tuple(-1000 if y is None else y for y in x))
+            n = best[0]
+            if n and any(x.strip() for x in own[i:i + n]) and i + n > reached:
+                want[d, i] = (n, None if best[1] is None else -best[1], -best[2], max(i, reached))
+                reached = i + n
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string").withColumn("t", F.xxhash64("text")).repartition(3)
+    got = line_dedup.maximal_runs(df).collect()
+    assert {(r.doc_id, r.start): (r.length, r.first_doc_id, r.first_start, r.new_from) for r in got} == want
+    assert len(got) == len(want) and len(want) > 40
+    assert line_dedup.maximal_runs(df.limit(0)).count() == 0
+
+
 def test_line_runs_of_few_different_lines(spark):
     rnd = random.Random(3)
     rows = [(i, "\n".join(rnd.choice(["", " ", "\t", "a", "b", "c", "d"]) for _ in range(rnd.randrange(1, 14)))) for i in range(60)]
