@@ -2,7 +2,7 @@
 
 Mean distances to whole clusters need every pair of a bucket, but the pairs are
 never rows. Points are hashed into blocks of bounded bytes, each task receives
-two blocks, and what leaves it is one partial sum per point and other cluster, for the points
+two blocks, and what leaves it is one row per point with its partial sums for the other side's clusters, for the points
 of both: a pair of blocks is looked at once. A block is sent to half of the other blocks, those after it
 round the circle. ``sample`` trades exactness for time on request only; it keeps points by a hash of their id.
 """
@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 
 from metricloom.functions.timebuckets import bucket_start
 
-#: Points and bytes of features that a block has at most, on average.
-BLOCK_POINTS, BLOCK_BYTES = 1024, 2 << 20
+#: Points and bytes of features that a block has at most, on average. Copies and partial sums fall as blocks grow.
+BLOCK_POINTS, BLOCK_BYTES = 8192, 2 << 20
 #: Bytes of a distance matrix handled at once.
 CHUNK_BYTES = 2 << 20
 #: Squared distances below this share of both squared lengths are computed again from differences.
 CLOSE = 1e-6
-PARTIAL = "group_id string, row_id string, other string, distance double, n long"
+PARTIAL = "group_id string, row_id string, other array<string>, distance array<double>, n array<long>"
 
 
 def _kernel():
@@ -61,10 +61,13 @@ def _kernel():
         return out
 
     def table(group: str, ids: pa.Array, clusters: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        point, other = np.nonzero(counts)
+        points, others = counts.shape
+        ends = pa.array(np.arange(points + 1, dtype=np.int32) * others)
+        names = pa.array(clusters, pa.string()).take(pa.array(np.tile(np.arange(others), points)))
         return pa.RecordBatch.from_arrays([
-            pa.array([group] * len(point), pa.string()), ids.take(pa.array(point)), pa.array(clusters[other], pa.string()),
-            pa.array(sums[point, other]), pa.array(counts[point, other].astype(np.int64))],
+            pa.array([group] * points, pa.string()), ids, pa.ListArray.from_arrays(ends, names),
+            pa.ListArray.from_arrays(ends, pa.array(sums.ravel())),
+            pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int64).ravel()))],
             ["group_id", "row_id", "other", "distance", "n"])
 
     def partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,6 +90,8 @@ def _kernel():
                 yield table(group, ids, other_names, sums, counts)
                 if not same:
                     yield table(group, other_ids, names, back, back_counts)
+            # The next batch comes without this one beside it.
+            batch = column = sides = ids = other_ids = x = a = b = known = None
 
     return partial_sums
 
@@ -122,7 +127,10 @@ def silhouette(df: DataFrame, *, ts: str, row_id: str, cluster: str, features: s
     blocks = feature_blocks(points, block_points)
     block_pairs = paired(blocks)
     partial = block_pairs.mapInArrow(_kernel(), PARTIAL)
-    means = partial.groupBy("group_id", "row_id", "other").agg((F.sum("distance") / F.sum("n")).alias("mean"))
+    # A point's sums travel as one row and are unfolded where they are added up. Without an id no point can take them.
+    together = partial.filter("row_id is not null").repartition("group_id", "row_id")
+    sums = together.select("group_id", "row_id", F.inline(F.arrays_zip("other", "distance", "n"))).filter("n > 0")
+    means = sums.groupBy("group_id", "row_id", "other").agg((F.sum("distance") / F.sum("n")).alias("mean"))
     scored = points.select("group_id", "_g", "row_id", "cluster").join(means, ["group_id", "row_id"], "left")
     own = F.col("other") == F.col("cluster")
     per_point = scored.groupBy("group_id", "_g", "row_id", "cluster").agg(
