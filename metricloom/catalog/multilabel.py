@@ -9,7 +9,7 @@ from metricloom.catalog.registry import register
 from metricloom.functions.timebuckets import since
 from metricloom.operators import clustering, multilabel as M
 from metricloom.plans import charts, label_store as L, store as S
-from metricloom.session import scratch_path
+from metricloom.session import scratch_path, written
 
 BOTH = dict(ts="ts", predicted="pred", actual="gt")
 SETS = ("(SELECT date_trunc('day', ts) AS day, row_id, segment, pred, coalesce(pred, []) AS p, coalesce(gt, []) AS g, "
@@ -293,7 +293,8 @@ def label_store(spark, d):
     key = (spark.sparkContext.applicationId, d)
     if key not in _stores:
         path = scratch_path(spark, "label-store")
-        rows = views.multilabel(spark, d)
+        # Both updates and the five metrics of each read these rows.
+        rows = written(views.multilabel(spark, d), "label-rows")
         L.update(rows, path, ts="ts", **LABEL_COLUMNS)
         L.update(rows, path, ts="ts", as_of=rows.agg(F.max("ts")).first()[0], lookback_days=2, **LABEL_COLUMNS)
         _stores[key] = path

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from metricloom.functions.labels import (
     explode_confidences,
     label_count,
-    label_pairs,
     label_set,
     named_labels,
     scored_labels,
+    sorted_pairs,
 )
 from metricloom.functions.numeric import flag, ratio_or_null
 from metricloom.operators.common import bucketed
@@ -65,7 +65,7 @@ def per_inference(df: DataFrame, *, ts: str, row_id: str, labels: dict[str, str]
     This is the only shuffle of inferences; whatever is counted below it is unfolded after the shuffle and summed
     before the next one.
     """
-    sets = {name: F.array_sort(named_labels(column)) for name, column in labels.items()}
+    sets = {name: F.sort_array(named_labels(column)) for name, column in labels.items()}
     rows = bucketed(df, ts, bucket, {"_id": F.col(row_id), **sets}, group_by, name="ts")
     return rows.groupBy("ts", *group_by, "_id").agg(*[F.collect_set(name).alias(name) for name in labels])
 
@@ -113,7 +113,7 @@ def prediction_volume(df: DataFrame, *, ts: str, labels: str, bucket: str = "1 d
 
 def exact_match_ratio(df: DataFrame, *, ts: str, predicted: str, actual: str, bucket: str = "1 day",
                       group_by: Sequence[str] = ()) -> DataFrame:
-    same = F.array_sort(label_set(predicted)) == F.array_sort(label_set(actual))
+    same = F.sort_array(label_set(predicted)) == F.sort_array(label_set(actual))
     rows = bucketed(df, ts, bucket, {"_same": flag(same)}, group_by, name="ts")
     return rows.groupBy("ts", *group_by).agg(F.avg("_same").alias("exact_match_ratio")).orderBy("ts", *group_by)
 
@@ -157,7 +157,9 @@ def label_cooccurrence(df: DataFrame, *, ts: str, row_id: str, predicted: str, a
     inferences = per_inference(df, ts=ts, row_id=row_id, labels={"_p": predicted, "_a": actual}, bucket=bucket, group_by=group_by)
 
     def side(sets: str, first: int) -> Column:
-        pairs = F.array_distinct(F.flatten(F.transform(sets, label_pairs)))
+        # The pairs of one set differ; only several sets of an inference can repeat one.
+        all_pairs = F.flatten(F.transform(sets, sorted_pairs))
+        pairs = F.when(F.size(sets) > 1, F.array_distinct(all_pairs)).otherwise(all_pairs)
         return F.transform(pairs, lambda p: F.struct(p["label_1"].alias("label_1"), p["label_2"].alias("label_2"),
                                                      F.lit(first).alias("_in_p"), F.lit(1 - first).alias("_in_a")))
 
