@@ -17,7 +17,7 @@ from metricloom.functions.timebuckets import between
 from metricloom.operators import binary, probability, regression, sketch_checks
 from metricloom.plans import store as S
 from metricloom.plans.definitions import Binding, DefinitionRegistry, MetricDefinition, rebind, sql_metric
-from metricloom.session import scratch_path
+from metricloom.session import scratch_path, written
 from metricloom.sources import readers, writers
 from metricloom.streaming import metrics as stream_metrics
 
@@ -103,7 +103,8 @@ def _(spark, d):
                "dims['label_1'] AS label_1 FROM latest"))
 def _(spark, d):
     path = scratch_path(spark, "numeric-store")
-    rows = P.points(spark, d, ["coverage", "pairs"])
+    # Both versions are written from the same points.
+    rows = written(P.points(spark, d, ["coverage", "pairs"]), "numeric-points")
     first = rows.withColumn("value", F.col("value") * 0.5)
     S.write_points(first, path, version=S.next_version(spark, path))
     S.append_recomputed(rows.filter(F.dayofmonth("timestamp") != 10), path)

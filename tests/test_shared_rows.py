@@ -7,7 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from metricloom.catalog import multilabel as catalog
+from metricloom.catalog import all_queries, multilabel as catalog, plumbing
 from metricloom.functions import labels
 from metricloom.operators import multilabel as M
 from tests.conftest import day
@@ -43,6 +43,13 @@ def test_label_store_reads_raw_rows_once(spark, orders, monkeypatch):
     assert len(given) == 2 and not any(reads_raw(rows) for rows in given)
 
 
+def test_stored_points_are_computed_once(spark, orders, monkeypatch):
+    given, write = [], plumbing.S.write_points
+    monkeypatch.setattr(plumbing.S, "write_points", lambda points, *a, **k: given.append(points) or write(points, *a, **k))
+    all_queries()["numeric_store_round_trip"].build(spark, orders)
+    assert len(given) == 2 and not any(reads_raw(points) for points in given)
+
+
 def test_label_sets_and_confidences_without_lambdas(spark):
     rows = [(["b", None, "", "a", "b"], [0.1, 0.2, 0.3, 0.4, 0.5]), (["b", "a"], [None, 0.4]), (["b", "b"], [None, 0.7]), (None, None), (["a"], [0.1, 0.2])]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, l array<string>, c array<double>")
