@@ -50,6 +50,12 @@ def test_stored_points_are_computed_once(spark, orders, monkeypatch):
     assert len(given) == 2 and not any(reads_raw(points) for points in given)
 
 
+def test_recent_pairs_are_computed_once(spark, orders):
+    out = all_queries()["chart_top_cooccurring_pairs"].build(spark, orders)
+    assert not reads_raw(out)
+    assert [tuple(r) for r in out.select("label_1", "label_2", "pred_count", "gt_count").collect()] == [("L1", "L2", 1.0, 1.0)]
+
+
 def test_label_sets_and_confidences_without_lambdas(spark):
     rows = [(["b", None, "", "a", "b"], [0.1, 0.2, 0.3, 0.4, 0.5]), (["b", "a"], [None, 0.4]), (["b", "b"], [None, 0.7]), (None, None), (["a"], [0.1, 0.2])]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, l array<string>, c array<double>")
