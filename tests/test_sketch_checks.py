@@ -48,6 +48,45 @@ def test_true_sketches_hold_and_wrong_ones_do_not(rows):
     assert not any(r.p95_held for r in sketch_checks.held_quantiles(rows, part, ["g"], "v", Q).collect() if r.g in ("hot", None))
 
 
+def exact(values, q):
+    vs, gap = np.sort(values), sketch_checks.allowed()
+    n = len(vs)
+    low, high = max(0, int(np.floor((q - gap) * n)) - 1), min(n - 1, int(np.ceil((q + gap) * n)))
+    return repr((float(vs[low]), float(vs[high])))
+
+
+def test_only_values_near_the_ranks_are_ordered(rows, monkeypatch):
+    ordered, totals = [], sketch_checks.running_totals
+    monkeypatch.setattr(sketch_checks, "running_totals", lambda df, *a, **k: ordered.append(df.filter("g = 'hot'").count()) or totals(df, *a, **k))
+    quantiles = {"median": 0.5, "p95": 0.95}
+    out = sketch_checks.held_quantiles(rows, merged(rows), ["g"], "v", quantiles).filter("g = 'hot'").first()
+    # A fifth of the values lies as near to the ranks as the error allows, and is ordered once.
+    assert len(ordered) == 1 and 2000 < ordered[0] < 6000
+    values = [r.v for r in rows.filter("g = 'hot'").collect()]
+    assert all(repr((out[f"{name}_low"], out[f"{name}_high"])) == exact(values, q) for name, q in quantiles.items())
+
+
+def test_bands_do_not_depend_on_the_sketch(spark):
+    rng = np.random.default_rng(4)
+    groups = {"a": [*rng.normal(size=3000), *[0.0, -0.0] * 900], "b": [*rng.normal(size=1500), *[float("inf"), float("nan"), float("-inf")] * 200],
+              None: [float(v) for v in rng.integers(0, 9, 2000)], "small": list(rng.normal(size=sketch_checks.MARKED_ROWS - 1))}
+    rows = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, v double").repartition(5)
+    true = rows.groupBy("g").agg(sketches.build("v").alias("s"))
+    wrong = rows.groupBy("g").agg(sketches.build(F.col("v") * 0.01 + 1).alias("s"))
+    partly = wrong.filter("g = 'a'").unionByName(true.filter("g = 'b'"))
+    for given in (None, wrong, partly.unionByName(true)):
+        out = {r.g: r for r in sketch_checks.quantile_bands(rows, ["g"], "v", Q, merged=given).collect()}
+        assert {g: r.n for g, r in out.items()} == {g: len(vs) for g, vs in groups.items()}
+        for g, vs in groups.items():
+            for name, q in Q.items():
+                low, high = (v + 0.0 for v in (out[g][f"{name}_low"], out[g][f"{name}_high"]))
+                assert repr((low, high)) == exact(np.array(vs) + 0.0, q), (g, name)
+    every = [v for vs in groups.values() for v in vs]
+    whole = sketch_checks.quantile_bands(rows, [], "v", {"p30": 0.3}).collect()
+    assert [(r.n, repr((r.p30_low, r.p30_high))) for r in whole] == [(len(every), exact(np.array(every) + 0.0, 0.3))]
+    assert sketch_checks.quantile_bands(rows.filter("v > 1e9 and v < 2e9"), ["g"], "v", Q).collect() == []
+
+
 def test_mass_between_points(rows):
     whole = rows.agg(sketches.build("v").alias("s"))
     points = [0.0, 0.5, 1.0, 2.0, 1000.0]
