@@ -104,7 +104,6 @@ def shard_rows(texts: pa.Array, doc_ids: pa.Array, shard: int, documents: int, t
     size = np.bincount(term, minlength=len(distinct))
     lists = np.cumsum(size) - size
     blocks_of = -(-size // BLOCK)
-    first_block = np.cumsum(blocks_of) - blocks_of
     place = np.arange(len(term)) - lists[term]
     starts = np.flatnonzero(place % BLOCK == 0)
     gap = np.diff(doc, prepend=0)
@@ -112,9 +111,11 @@ def shard_rows(texts: pa.Array, doc_ids: pa.Array, shard: int, documents: int, t
     data, lengths = packed_numbers(np.stack([gap, impact], 1).ravel())
     # Bytes up to the end of each block, over the shard and from the term's first byte on.
     ends = np.concatenate([[0], np.cumsum(lengths)])[2 * np.append(starts[1:], len(term))] if len(term) else np.zeros(0, np.int64)
-    bytes_of = np.concatenate([[0], ends[first_block + blocks_of - 1]]) if len(distinct) else np.zeros(1, np.int64)
+    # Blocks and bytes before each term; an empty word, which has no postings, may be the first.
+    blocks_before = np.concatenate([[0], np.cumsum(blocks_of)])
+    bytes_of = np.concatenate([[0], ends])[blocks_before]
     block_term = np.repeat(np.arange(len(distinct)), blocks_of)
-    edges = pa.array(np.concatenate([[0], np.cumsum(blocks_of)]), pa.int32())
+    edges = pa.array(blocks_before, pa.int32())
 
     def of_blocks(values: np.ndarray) -> pa.Array:
         return pa.ListArray.from_arrays(edges, pa.array(values, pa.int32()))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import random
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.llm import lexical, queries
@@ -78,3 +80,38 @@ def test_blocks_are_rejected_before_they_are_decoded():
     rare = max(again.all(again.row["rare"])[1]) * 9000
     again.decoded = 0
     assert len(again.best(["common", "rare"], [1, 9000], 2, int(rare) + 10**6)[0]) == 0 and again.decoded == 0
+
+
+ODD_FIRST = [None, "", " rare common", ". common rare", "\n", "\x00b"]
+
+
+@pytest.mark.parametrize("first", ODD_FIRST)
+def test_shards_that_begin_with_no_term(first):
+    """A first text that is empty or begins with a separator shifts no list of its shard."""
+    texts = [first, "rare b common", "b b", None, " common"]
+    rows = lexical.shard_rows(pa.array(texts), pa.array(range(5)), 0, 5, 9)
+    rows.validate(full=True)
+    shard = lexical.Shard(pa.Table.from_batches([rows]))
+    split = [t.split() for t in lexical.spaced(pa.array(texts)).to_pylist()]
+    for term in ("rare", "common", "b"):
+        docs, impact = shard.all(shard.row[term])
+        assert docs.tolist() == [i for i, t in enumerate(split) if term in t] and (impact > 0).all()
+        assert shard.blocks(shard.row[term], np.array([0]))[0].tolist() == docs.tolist()
+
+
+def test_shards_without_any_term():
+    rows = lexical.shard_rows(pa.array([None, "", " ."]), pa.array([1, 2, 3]), 0, 5, 9)
+    rows.validate(full=True)
+    assert rows["n"].to_pylist()[-1] == 0 and rows["doc_ids"].to_pylist()[-1] == [1, 2, 3]
+    assert len(lexical.Shard(pa.Table.from_batches([rows])).best(["a"], [5], 3, 0)[0]) == 0
+
+
+def test_search_of_shards_that_begin_with_no_term(spark):
+    rnd = random.Random(5)
+    parts = [[(100 * p + i, first if not i else " ".join(rnd.choices("abcdefgh", k=rnd.randrange(1, 9)))) for i in range(20)]
+             for p, first in enumerate(ODD_FIRST)]
+    parts.append([(900, None), (901, ""), (902, " .,")])
+    items = [(1, "a b"), (2, "common"), (3, "h rare"), (4, "none")]
+    docs = [spark.createDataFrame(p, "doc_id long, text string").coalesce(1) for p in parts]
+    found = lexical.ranked(functools.reduce(DataFrame.unionAll, docs), spark.createDataFrame(items, "item_id long, text string"))
+    same(found.collect(), lexical.brute_force([r for p in parts for r in p], items))
